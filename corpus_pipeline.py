@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import read_table, written
 from siltstone.llm.decontaminate import find_benchmark, with_verdict
 from siltstone.llm.mixing import mixed_rows
+from siltstone.llm.near import near_classes
 from siltstone.llm.quality import THRESHOLD, learned, with_quality
 from siltstone.llm.sharding import pack_shards
 
@@ -20,6 +21,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_quality(docs, model, name="__score").where(F.col("__score") >= THRESHOLD).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of near duplicates (and rows without id)."""
+    gone = near_classes(docs).where("class_id <> doc_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents of which benchmark windows cover at least a twentieth."""
     found = with_verdict(find_benchmark(docs, read_table(spark, sf_dir, "benchmark")))
@@ -36,7 +43,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_shards(docs.select(*COLUMNS))
 
 
-STAGES = [("quality", quality), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
 #: Tree growing and greedy packing are not expressible in SQL.
 ORACLE_SQL = None

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import prepare
+
 #: Bytes of text that a kernel looks at in one step; bounds the temporaries of a task.
 STEP_BYTES = 2 << 20
 
@@ -42,7 +44,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Limit Arrow batches by bytes, so that long rows do not gather in one batch."""
+    """Before Python runs on executors: ship the package, and limit Arrow batches by bytes, so
+    that long rows do not gather in one batch."""
+    prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
