@@ -221,7 +221,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     keyed = sketch.where("id is not null and d1 is not null").select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("most")).where("m < most").drop("most")
-    coarse = components(keyed.join(shared, "key").select("id", "m"), "id", "m")
+    # sort-merge joins at every size, so that a small test shuffles what a large run will
+    coarse = components(keyed.join(shared.hint("merge"), "key").select("id", "m"), "id", "m")
     one = reps.groupBy(F.col("rep").alias("id")).agg(F.max("copies").alias("copies"), F.max("bytes").alias("bytes"))
     member = written(one.join(coarse, "id"), "members")
     total = member.count()
@@ -240,7 +241,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = (
         docs.where("id is not null")
-        .join(member, "id")
+        .join(member.hint("merge"), "id")
         .select("id", "copies", "text", "own", "part", other)
         .select("id", "copies", "text", "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
     )
@@ -252,7 +253,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = components(compared, "id", "root")
     known = reps.select("d1", "d2", "rep", "copies").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("d1", "d2", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sketch.select("id", "d1", "d2").join(known, ["d1", "d2"], "left").select(
+    return sketch.select("id", "d1", "d2").join(known.hint("merge"), ["d1", "d2"], "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"),
         F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
