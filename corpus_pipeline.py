@@ -9,7 +9,7 @@ from siltstone.llm.common import read_table, written
 from siltstone.llm.decontaminate import find_benchmark, with_verdict
 from siltstone.llm.mixing import mixed_rows
 from siltstone.llm.near import near_classes
-from siltstone.llm.quality import THRESHOLD, learned, with_quality
+from siltstone.llm.quality import THRESHOLD, accepted, learned
 from siltstone.llm.sharding import pack_shards
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,8 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier, learned on the corpus' labels, rejects."""
-    model = learned(spark, docs, sf_dir)
-    return with_quality(docs, model, name="__score").where(F.col("__score") >= THRESHOLD).select(*COLUMNS)
+    return accepted(docs, learned(spark, docs, sf_dir), THRESHOLD).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

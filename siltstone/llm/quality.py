@@ -20,35 +20,48 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import read_table
+from siltstone.llm.common import fresh, read_table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """The statistics of a text that has no nulls."""
-    chars = F.greatest(F.char_length(text), F.lit(1))
+#: Statistics, in the order in which the trees see them.
+NAMES = (
+    "log_chars", "word_length", "line_length", "distinct_words", "log_distinct_words", "distinct_lines",
+    "upper", "digits", "symbols", "bars", "exclamations", "stops",
+)
+
+
+def with_statistics(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    """``df`` with a column for each statistic of its text.  Words and lines are split in a step of their own, and
+    columns are not packed into structs, so that the optimizer leaves them as they are: computed once."""
+    kept = df.columns
+    text, chars, words, lines, own_words, own_lines = (F.col(f"{prefix}{k}") for k in range(6))
+    step = F.coalesce(F.col(text_col), F.lit(""))
+    df = df.select(*kept, step.alias(f"{prefix}0"), F.split(F.trim(step), r"\s+").alias(f"{prefix}2"), F.split(step, "\n").alias(f"{prefix}3"))
+    df = df.select(
+        *kept,
+        text,
+        F.char_length(text).alias(f"{prefix}1"),
+        F.size(words).alias(f"{prefix}2"),
+        F.size(lines).alias(f"{prefix}3"),
+        F.size(F.array_distinct(words)).alias(f"{prefix}4"),
+        F.size(F.array_distinct(lines)).alias(f"{prefix}5"),
+    )
 
     def share(of: str) -> Column:
-        return 1 - F.char_length(F.translate(text, of, "")) / chars
-
-    words = F.split(F.trim(text), r"\s+")
-    lines = F.split(text, "\n")
-    return {
-        "log_chars": F.log1p(F.char_length(text)),
-        "word_length": F.char_length(text) / F.size(words),
-        "line_length": F.log1p(F.char_length(text) / F.size(lines)),
-        "distinct_words": F.size(F.array_distinct(words)) / F.size(words),
-        "log_distinct_words": F.log1p(F.size(F.array_distinct(words))),
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
-        "upper": share(UPPER),
-        "digits": share("0123456789"),
-        "symbols": share("#$%&*@^~<>{}[]\\/=_+"),
-        "bars": share("|"),
-        "exclamations": share("!?"),
-        "stops": share(".,;:"),
-    }
-
+        return 1 - F.char_length(F.translate(text, of, "")) / F.greatest(chars, F.lit(1))
+
+    values = (
+        F.log1p(chars),
+        chars / words,
+        F.log1p(chars / lines),
+        own_words / words,
+        F.log1p(own_words),
+        own_lines / lines,
+        *(share(of) for of in (UPPER, "0123456789", "#$%&*@^~<>{}[]\\/=_+", "|", "!?", ".,;:")),
+    )
+    return df.select(*kept, *(v.cast("double").alias(prefix + n) for n, v in zip(NAMES, values)))
 
 
 @dataclass(frozen=True)
@@ -58,10 +71,10 @@ class Rule:
     conditions: tuple[tuple[str, bool, float], ...]
     weight: float
 
-    def column(self, stats: str) -> Column:
+    def column(self, prefix: str) -> Column:
         out = None
         for name, upper, at in self.conditions:
-            c = F.col(f"{stats}.{name}")
+            c = F.col(prefix + name)
             c = c <= F.lit(at) if upper else c > F.lit(at)
             out = c if out is None else out & c
         return F.when(out, F.lit(self.weight)).otherwise(F.lit(0.0))
@@ -75,10 +88,10 @@ class Model:
     intercept: float
     rules: tuple[Rule, ...]
 
-    def score(self, stats: str) -> Column:
+    def score(self, prefix: str) -> Column:
         logit = F.lit(self.intercept)
         for rule in self.rules:
-            logit = logit + rule.column(stats)
+            logit = logit + rule.column(prefix)
         return 1 / (1 + F.exp(-logit))
 
 
@@ -113,15 +126,16 @@ def _lasso(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> t
     """Logistic regression with an L1 penalty on all but the intercept (accelerated proximal gradient)."""
     n, k = x.shape
     w, v, t = np.zeros(k + 1), np.zeros(k + 1), 1.0
-    z = np.random.default_rng(0).normal(size=k)
+    y = y.astype(x.dtype)
+    z = np.random.default_rng(0).normal(size=k).astype(x.dtype)
     for _ in range(20):  # the largest eigenvalue, for the step
         z = x.T @ (x @ z)
         norm = np.linalg.norm(z) or 1.0
         z /= norm
     step = 4.0 / (norm / n + 1.0)
     for _ in range(rounds):
-        g = 1 / (1 + np.exp(-(x @ v[1:] + v[0]))) - y
-        new = v - step * np.concatenate([[g.mean()], x.T @ g / n])
+        g = 1 / (1 + np.exp(-(x @ v[1:].astype(x.dtype) + v[0]))) - y
+        new = v - step * np.concatenate([[g.mean()], x.T @ g.astype(x.dtype) / n])
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v = new + (t - 1) / t2 * (new - w)
@@ -149,7 +163,7 @@ def fit(values: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, de
             rules.setdefault(hit.tobytes(), (path, hit))
     if not rules:
         return fit(values[:0], y[:0], names)
-    x = np.stack([h for _, h in rules.values()], axis=1).astype(np.float64)
+    x = np.stack([h for _, h in rules.values()], axis=1).astype(np.float32)
     intercept, w = _lasso(x, y, penalty)
     kept = [
         Rule(tuple((names[f], upper, float(edges[f][b])) for f, upper, b in path), float(wt))
@@ -159,25 +173,36 @@ def fit(values: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, de
     return Model(intercept, tuple(kept))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20000, **options) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 10000, **options) -> Model:
     """Fits a model on at most ``sample_rows`` labelled rows."""
-    stats = statistics(F.coalesce(F.col("text"), F.lit("")))
     sample = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
         .where(F.col("id").isNotNull() & F.col("label").isNotNull())
         .orderBy(F.xxhash64("id"), "id", "label")
         .limit(sample_rows)
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    got = texts.join(sample, "id").select(F.col("id"), F.col("label"), *(c.cast("double").alias(n) for n, c in stats.items())).limit(4 * sample_rows).toPandas()
-    got = got.sort_values(["id", "label", *stats], kind="stable")
-    return fit(got[list(stats)].to_numpy(np.float64), got["label"].to_numpy(np.float64), list(stats), **options)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # bounded by sample_rows
+    got = with_statistics(texts, "text", "").drop("text").limit(4 * sample_rows).toPandas()
+    got = got.sort_values(["id", "label", *NAMES], kind="stable")
+    return fit(got[list(NAMES)].to_numpy(np.float64), got["label"].to_numpy(np.float64), list(NAMES), **options)
 
 
 def with_quality(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    stats = F.struct(*(c.cast("double").alias(n) for n, c in statistics(F.coalesce(F.col(text_col), F.lit(""))).items()))
     kept = [c for c in docs.columns if c.lower() != name.lower()]
-    return docs.select(*kept, stats.alias("__stats")).select(*kept, model.score("__stats").alias(name))
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return with_statistics(docs, text_col, prefix).select(*kept, model.score(prefix).alias(name))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with at least the score.  The score is made non-deterministic by adding 0, for
+    otherwise the optimizer would push the filter down to the scan with all statistics written out in it
+    for every rule, and compute them again for each."""
+    name = fresh(docs, "score")
+    once = F.col(name) + F.monotonically_increasing_id() * F.lit(0.0)
+    scored = with_quality(docs, model, text_col, name).select(*docs.columns, once.alias(name))
+    return scored.where(F.col(name) >= threshold).select(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
