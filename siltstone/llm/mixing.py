@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import read_table, written
 
 OUT = ("source_size", "target", "taken")
+#: Plans of up to so many sources are broadcast (a few MB); larger ones are joined by shuffles.
+BROADCAST_SOURCES = 50_000
 #: Words as the mix counts them.
 SIZE_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -67,11 +69,14 @@ def mix_sources(
     plan = source_targets(sizes, weights, share, most).withColumn("buckets", F.ceil(F.sqrt("n")))
     budget = F.floor(F.col("target"))
     plan = plan.withColumn("epochs", F.coalesce(F.try_divide(budget, F.col("source_size")), F.lit(0)).cast("long"))
-    plan = plan.withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
+    plan = written(plan.withColumn("rest", budget - F.col("epochs") * F.col("source_size")), "plan")
+    small = plan.select("source", "place", "buckets", "rest")
+    if plan.count() <= BROADCAST_SOURCES:
+        small = F.broadcast(small)
     bucket = F.least(F.floor(F.col("key") / F.lit(2.0**60) * F.col("buckets")), F.col("buckets") - 1)
     keyed = (
         rows.select(F.col("source").alias("own"), "size", "key")
-        .join(plan.select("source", "place", "buckets", "rest"), F.col("own").eqNullSafe(F.col("source")))
+        .join(small, F.col("own").eqNullSafe(F.col("source")))
         .select("place", "rest", bucket.alias("bucket"), "key", "size")
     )
     order = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +96,9 @@ def mix_sources(
         .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("sum")))
         .select("place", F.col("key").alias("cut_key"), F.floor((F.col("rest") - F.col("before")) / F.col("rows")).alias("cut_part"))
     )
-    cuts = plan.join(cut, "place", "left").select(F.col("source").alias("of"), "source_size", "target", "epochs", "cut_key", "cut_part")
+    cuts = written(plan.join(cut, "place", "left").select(F.col("source").alias("of"), "source_size", "target", "epochs", "cut_key", "cut_part"), "cuts")
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
     last = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.least("size", "cut_part"))
     return rows.join(cuts, F.col("source").eqNullSafe(F.col("of"))).select(
         "row.*", "source_size", "target", (F.col("epochs") * F.col("size") + F.coalesce(last, F.lit(0))).cast("long").alias("taken")
