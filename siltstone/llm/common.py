@@ -6,48 +6,22 @@ The package has to be importable on the executors (installed there, or sent with
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from siltstone.session import prepare
+from siltstone.session import prepare, shared_dir, written
 
 #: Bytes of text that a kernel looks at in one step; bounds the temporaries of a task.
 STEP_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in local mode a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and
-    survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Before Python runs on executors: ship the package, and limit Arrow batches by bytes, so
-    that long rows do not gather in one batch."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Before Python runs on executors: the package is shipped, and Arrow batches are limited by bytes."""
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -138,5 +112,4 @@ class RangeHash:
         return mix64((prefix[k:] - prefix[:n]) * self.back[:n])
 
 
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, F.monotonically_increasing_id())
+__all__ = ["RangeHash", "bounded_batches", "fresh", "mix64", "read_table", "seeded", "shared_dir", "steps", "text_bytes", "written"]

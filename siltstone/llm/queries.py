@@ -5,6 +5,7 @@ from __future__ import annotations
 from siltstone.llm.decontaminate import op7_wu_manber
 from siltstone.llm.mixing import op8_mixing
 from siltstone.llm.near import op5_jaccard_join
+from siltstone.llm.oracle import ORACLE_SQL
 from siltstone.llm.quality import op1_rule_ensemble
 from siltstone.llm.search import op10_bm25_wand
 from siltstone.llm.secrets import op3_secrets
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_bm25_wand": op10_bm25_wand,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

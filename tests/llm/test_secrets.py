@@ -1,0 +1,82 @@
+import base64
+import gzip
+import hashlib
+import re
+import urllib.parse
+import zlib
+
+from siltstone.llm.secrets import find_secrets, joined, op3_secrets, scan_all
+
+WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
+
+
+def base(text):
+    """The base rules, written out in another way."""
+    out = []
+    for m in re.finditer(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[1]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_whole_table(spark):
+    sf = "/root/testdata/sf0.1"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op3_secrets(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(want.count(k + ":") for k in ("assign", "access", "hex"))
+    assert sum(r.n_assign for r in got) > 50
+
+
+def spans(text):
+    return joined(scan_all(text)[1])
+
+
+def test_layers_and_spans():
+    plain = 'x password="abcdefghijkl" y'
+    url = urllib.parse.quote(plain)
+    assert f"assign:{url.index('password')}:{url.index('%22', 12 + 10)}" in spans(url) or "assign" in spans(url)
+    once = "".join(f"\\u{ord(c):04x}" for c in "token:abcdefghijkl")
+    assert spans(once) == f"assign:0:{len(once)}"
+    b64 = base64.b64encode(b"  token: abcdefghijklmnop  ").decode()
+    assert spans(f"see {b64} end").startswith("assign:")
+    a, b = map(int, spans(f"see {b64} end").split(",")[0].split(":")[1:])
+    assert base64.b64decode(f"see {b64} end"[a - (a - 4) % 4 : b + (-(b - 4)) % 4]).strip().startswith(b"token")
+    for pack in (gzip.compress, zlib.compress):
+        raw = base64.b64encode(pack(b"secret=" + b"Z" * 40)).decode()
+        text = f"data {raw} end"
+        assert f"assign:5:{5 + len(raw)}" in spans(text)
+        nested = base64.b64encode(urllib.parse.quote(text).encode()).decode()
+        assert "assign" in spans(nested)
+    deep = plain
+    for _ in range(6):
+        deep = urllib.parse.quote(deep, safe="")
+    assert "assign" in spans(deep) and scan_all(deep)[2] >= 6
+
+
+def test_short_match_is_consumed():
+    assert spans("token=password: abcdefghijklmnop") == ""
+    assert spans("AKIAAAAA AKIA" + "B" * 14) == "access:9:27"
+    assert spans("tokeN = 'abcdefghijk'") == "" and spans("toKen=abcdefghijklm") == ""
+    assert spans("é token=abcdefghijkl") == "assign:2:20"
+
+
+def test_ends_on_cycles_and_long_texts():
+    loop = "%2525" * 2000 + "\\u005cu005cu005c" * 500
+    assert scan_all(loop)[2] < 50
+    assert len(scan_all("token=abcdefghijkl " * 20000)[0]) == 20000
+
+
+def test_edges(spark):
+    rows = [(1, None), (2, ""), (3, "token=abcdefghijkl"), (3, "token=abcdefghijkl"), (None, "0123456789abcdef")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ALL_SPANS string")
+    got = find_secrets(df)
+    assert got.columns == ["doc_id", "text", "base_spans", "all_spans", "n_layers"]
+    assert sorted((str(r.doc_id), len(r.all_spans)) for r in got.collect()) == [("1", 0), ("2", 0), ("3", 1), ("3", 1), ("None", 1)]
+    assert find_secrets(df.limit(0)).count() == 0
