@@ -92,6 +92,8 @@ SQL: dict[str, str] = {
     "F7_F8_keys": f"WITH {keys()} SELECT * FROM keyed",
     "I2_first_key_index": f"WITH {keys()} SELECT sf0 AS key, count(*) AS members FROM keyed GROUP BY sf0",
     "I3_max_feature_index": f"WITH {keys()} SELECT a AS key, count(*) AS members FROM keyed GROUP BY a",
+    "I4_hierarchy_sets": f"WITH {keys()} SELECT a, string_agg(bc, ',' ORDER BY bc) AS keys FROM (SELECT DISTINCT a, b || '.' || c AS bc FROM keyed) GROUP BY a",
+    "I5_index_after_delete": f"WITH {keys()} SELECT sf0 AS key, count(*) AS members FROM keyed WHERE chunk_id % 2 <> 0 GROUP BY sf0",
     "I6_similar_count": f"WITH {keys()} SELECT coalesce(sum(members), 0)::BIGINT AS similar_chunks FROM (SELECT count(*) AS members FROM keyed GROUP BY sf0) WHERE members > 1",
     "I7_similar_record": f"""WITH {keys()}, probe AS ({_PROBE}),
 hits AS (SELECT x.chunk_id, x.pos, min(y.chunk_id) AS other FROM probe x JOIN probe y ON x.pos = y.pos AND x.key = y.key AND x.chunk_id <> y.chunk_id GROUP BY ALL)

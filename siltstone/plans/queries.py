@@ -170,6 +170,19 @@ def _(c):
     return similar.max_feature_index(c.features)
 
 
+@on_corpus("I4_hierarchy_sets")
+def _(c):
+    """The finer keys below each largest feature."""
+    below = c.features.select("hsf.a", F.concat_ws(".", "hsf.b", "hsf.c").alias("bc")).distinct()
+    return below.groupBy("a").agg(F.array_join(F.array_sort(F.collect_list("bc")), ",").alias("keys"))
+
+
+@on_corpus("I5_index_after_delete")
+def _(c):
+    """The first-key index after the chunks of even number are deleted."""
+    return similar.first_key_index(similar.without(c.features, c.features.select("chunk_id").where("chunk_id % 2 = 0")))
+
+
 @on_corpus("I6_similar_count")
 def _(c):
     return similar.similar_count(c.features)
