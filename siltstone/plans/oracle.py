@@ -155,8 +155,8 @@ UNION ALL SELECT 'difference', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FR
 UNION ALL SELECT 'intersection', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""",
     "E_functions": """SELECT page_id, string_split(url, '/')[-1] AS basename, lower(hex(encode(url)))[1:16] AS head, ceil(octet_length(encode(html)) / 1000.0)::BIGINT AS blocks,
 least(greatest(page_id, 10), 100) AS clamped, round(log2(page_id + 1))::INT AS bits, (page_id << 3) & 255 AS masked FROM pages""",
-    "O8_top_pairs": f"""WITH {CHUNKS}, s AS (SELECT DISTINCT file_id, fp FROM chunks)
-SELECT a.file_id AS i, b.file_id AS j, count(*) AS shared FROM s a JOIN s b ON a.fp = b.fp AND a.file_id < b.file_id GROUP BY ALL ORDER BY shared DESC, i, j LIMIT 20""",
+    "O8_top_pairs": f"""WITH {features()}, flat AS ({_FLAT} WHERE chunk_id < 96)
+SELECT a.chunk_id AS i, b.chunk_id AS j, count(*) AS shared FROM flat a JOIN flat b ON a.feature = b.feature AND a.chunk_id < b.chunk_id GROUP BY ALL ORDER BY shared DESC, i, j LIMIT 20""",
     "W_places": f"WITH {CHUNKS} SELECT file_id, seq, row_number() OVER (PARTITION BY size ORDER BY file_id, seq) - 1 AS place FROM chunks",
     "I8_probe": f"""WITH {keys()}, probe AS ({_PROBE}), index_ AS (SELECT pos, key, min(chunk_id) AS other FROM probe GROUP BY ALL)
 SELECT p.chunk_id AS probe_id, arg_min(i.other, p.pos) AS similar_id FROM probe p JOIN index_ i USING (pos, key) GROUP BY p.chunk_id""",

@@ -405,10 +405,10 @@ def _(spark, sf_dir):
 
 @on_corpus("O8_top_pairs")
 def _(c):
-    """The 20 pairs of files that share the most chunks.  A chunk that very many files have would give a
-    pair for any two of them: files with equal chunk sets are no pairs here, they are counted by the index."""
-    s = c.fingerprints.select("file_id", "fp").distinct()
-    pairs = s.select(F.col("file_id").alias("i"), "fp").join(s.select(F.col("file_id").alias("j"), "fp"), "fp").where("i < j")
+    """The 20 pairs of chunks with the most features in common, among the first ``greedy_limit`` chunks (the
+    bound of the greedy method, whose best pair this stands for)."""
+    f = similar.feature_index(c.features.where(F.col("chunk_id") < CONFIG.greedy_limit))
+    pairs = f.withColumnRenamed("chunk_id", "i").join(f.withColumnRenamed("chunk_id", "j"), "feature").where("i < j")
     return pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared")).orderBy(F.desc("shared"), "i", "j").limit(20)
 
 
