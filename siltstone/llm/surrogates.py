@@ -70,7 +70,9 @@ PATTERNS = {
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "name": r"(?<![\p{L}\p{N}])(?:" + "|".join(t for x in TITLES.values() for t in x) + r")\.? \p{Lu}[\p{L}'-]++(?: \p{Lu}[\p{L}'-]++)?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Matches of all kinds but e-mail start with one of these characters, which spares trying each pattern elsewhere.
+OTHERS = "(?=[0-9+(A-Zгκ])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email") + ")"
+ANY = f"(?:{PATTERNS['email']})|{OTHERS}"
 MOST_ATTEMPTS = 100
 
 
@@ -131,25 +133,28 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add) % 10
 
 
-def candidate(kind: Column, norm: Column, gender: Column, key: str, attempt: int) -> Column:
-    """The surrogate of a normal form, as a normal form of the same kind."""
+def candidate(entities: DataFrame, key: str, attempt: int) -> DataFrame:
+    """``entities`` with a ``surrogate``: a normal form of the same kind.  The key stream is a column of its
+    own before it is drawn from for every character, so that it is computed once."""
+    kind, norm, gender, stream = F.col("kind"), F.col("norm"), F.col("gender"), F.col("stream")
     seed = F.concat_ws("|", F.lit(key), F.lit(str(attempt)), kind, norm)
-    stream = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("+")), 512))
-    digits = _scrambled(norm, stream)
+    rows = entities.withColumn("stream", F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("+")), 512)))
+    rows = rows.withColumns({"user": F.regexp_extract(norm, r"^(.*)@", 1), "domain": F.regexp_extract(norm, r"@(.*)(\.[a-z]+)$", 1), "top": F.regexp_extract(norm, r"(\.[a-z]+)$", 1)})
+    mail = F.concat(_scrambled(F.col("user"), stream), F.lit("@"), _scrambled(F.col("domain"), F.reverse(stream)), F.col("top"))
+    rows = rows.withColumn("mixed", F.when(kind == "email", mail).when(~kind.isin("name", "ip"), _scrambled(norm, stream)))
+    mixed = F.col("mixed")
     head = F.regexp_extract(norm, r"^(\+\d|\d)", 1)  # country code's first digit, or a card's network
-    numbers = F.concat(head, F.substr(digits, F.length(head) + 1, F.length(digits)))
+    rows = rows.withColumn("numbers", F.when(~kind.isin("email", "name", "ip"), F.concat(head, F.substr(mixed, F.length(head) + 1, F.length(mixed)))))
+    numbers = F.col("numbers")
     body = F.substr(numbers, F.lit(1), F.length(numbers) - 1)
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
     card = F.when(norm.rlike(r"^\d+$") & (_luhn(norm) == 0), F.concat(body, check.cast("string"))).otherwise(numbers)
-    user, domain = F.regexp_extract(norm, r"^(.*)@", 1), F.regexp_extract(norm, r"@(.*)$", 1)
-    top = F.regexp_extract(domain, r"(\.[a-z]+)$", 1)
-    mail = F.concat(_scrambled(user, stream), F.lit("@"), _scrambled(F.substr(domain, F.lit(1), F.length(domain) - F.length(top)), F.reverse(stream)), top)
     private = F.regexp_extract(norm, r"^(10|192\.168|172\.16)\.", 1)
     octets = [_draw(stream, k, 254) + 1 for k in range(4)]
     ip = F.when(private == "10", F.concat_ws(".", F.lit("10"), *octets[1:])).when(private != "", F.concat_ws(".", private, *octets[2:])).otherwise(
         F.concat_ws(".", _draw(stream, 0, 90) + 20, *octets[1:])
     )
-    iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.substr(digits, F.lit(3), F.length(digits)))
+    iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.substr(mixed, F.lit(3), F.length(mixed)))
     script = script_of(norm)
     person = F.lit(None).cast("string")
     for (s, g), names in GIVEN.items():
@@ -158,7 +163,8 @@ def candidate(kind: Column, norm: Column, gender: Column, key: str, attempt: int
         last = F.initcap(F.concat(*(F.element_at(parts, _draw(stream, 41 + k, len(SYLLABLES[s])) + 1) for k in range(3 + attempt // 4))))
         whole = F.when(norm.contains(" "), F.concat_ws(" ", given, last)).otherwise(last)
         person = F.when((script == s) & (gender == g), whole).otherwise(person)
-    return F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "name", person).when(kind == "card", card).otherwise(numbers)
+    found = F.when(kind == "email", mixed).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "name", person).when(kind == "card", card).otherwise(numbers)
+    return rows.select("kind", "norm", "gender", found.alias("surrogate"))
 
 
 def in_format(kind: Column, value: Column, surrogate: Column) -> Column:
@@ -182,7 +188,7 @@ def resolve(entities: DataFrame, key: str) -> DataFrame:
     done: list[DataFrame] = []
     pending = entities
     for attempt in range(MOST_ATTEMPTS):
-        tried = pending.withColumn("surrogate", candidate(F.col("kind"), F.col("norm"), F.col("gender"), key, attempt))
+        tried = written(candidate(pending, key, attempt), "tried")
         taken = reduce(DataFrame.unionByName, [d.select("kind", "surrogate") for d in done], real)
         first = tried.join(taken, ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
         won = written(tried.join(first, ["kind", "surrogate", "norm"], "left_semi").select("kind", "norm", "gender", "surrogate"), "surrogates")
@@ -198,7 +204,8 @@ def with_surrogates(df: DataFrame, key: str, text_col: str = "text") -> DataFram
     text = F.col(text_col)
     kept = [c for c in df.columns if c.lower() not in ("n_entities", "entity_kinds")]
     rows = df.select(F.struct(*kept).alias("row"), text.alias("text"))
-    has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    # texts without an @ have no e-mail address, whose pattern is the only one that starts at any letter
+    has = F.coalesce(F.when(F.col("text").contains("@"), F.col("text").rlike(ANY)).otherwise(F.col("text").rlike(OTHERS)), F.lit(False))
     touched = rows.where(has).select("row", "text", F.md5(F.col("text").cast("binary")).alias("digest"))
     found = written(touched.select("digest", F.regexp_extract_all("text", F.lit(ANY), 0).alias("values")).dropDuplicates(["digest"]), "mentions")
     mention = found.select("digest", F.posexplode("values").alias("at", "value")).withColumn("kind", kind_of(F.col("value")))
