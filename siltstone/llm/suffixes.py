@@ -1,8 +1,7 @@
 """Removal of repeated strings: every byte covered by a string of ``length`` bytes that also starts earlier.
 
 1. Anchors.  In each window of ``length`` bytes the 24-gram with the smallest hash is an anchor (winnowing),
-   so equal windows share an anchor at the same place.  An anchor's context holds all windows that have
-   it.  Contexts that are equal form a class; of a class only the first occurrence can be new, and all
+   so equal windows share an anchor at the same place.  An anchor's context holds the windows that have it.  Contexts that are equal form a class; of a class only the first occurrence can be new, and all
    others are repeated as a whole.  A task does this for its own rows before anything is shuffled, so an
    anchor or a context with very many copies reaches the shuffle once for each task.
 2. First occurrences of classes whose anchor has several classes are undecided (an edit, or the end of a
@@ -36,7 +35,7 @@ from siltstone.llm.common import RangeHash, bounded_batches, mix64, read_table,
 LENGTH = 100
 GRAM = 24
 #: Bytes of segments that are merged at once, and bytes of a shard.
-MERGE_BYTES = 2 << 20
+MERGE_BYTES = 1 << 20
 SHARD_BYTES = 256 << 10
 _hash, _second = RangeHash(21), RangeHash(31)
 
@@ -54,11 +53,12 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in the data, and hash of the anchors of all windows."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Row, place in the data, and hash of the anchors of all windows; and where the windows that have an
+    anchor start and end."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none, none
     grams = _hash.grams(_hash.prefix(data), GRAM)
     packed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     least = _sliding_min(packed, length - GRAM + 1)
@@ -66,10 +66,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     edge = np.zeros(len(data) + 1, np.int32)
     np.add.at(edge, offsets[:-1], 1)
     np.add.at(edge, last, -1)
-    inside = np.cumsum(edge)[: len(least)] > 0
-    at = (least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    return np.searchsorted(offsets, at, "right") - 1, at, grams[at]
+    window = np.flatnonzero(np.cumsum(edge)[: len(least)] > 0)
+    at = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:] - 1, [len(at) - 1]]) if len(at) else first
+    at = at[first]
+    return np.searchsorted(offsets, at, "right") - 1, at, grams[at], window[first], window[last] + length
 
 
 def merged_ranges(id_: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,11 +122,9 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         for i, j in steps(offsets):
             d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            row, at, h = anchors(d, o, length)
+            row, at, h, start, end = anchors(d, o, length)
             if not len(at):
                 continue
-            start = np.maximum(o[row], at - (length - GRAM))
-            end = np.minimum(o[row + 1], at + length)
             shape = ((at - start) * (2 * length) + (end - start)).astype(np.uint64)
             c = mix64(_second.ranges(_second.prefix(d), start, end) + shape)
             for p, v in zip(parts, (h, c, ids[i + row], at - o[row], start - o[row], end - start)):
@@ -186,26 +188,28 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Segments of undecided anchors by key; segments equal to an earlier one of the task are only ranges
-    (null bytes).  ``places``: anchors of each text."""
+    (null bytes).  ``places``: anchors of each text, with their contexts."""
     half = (length - GRAM) // 2
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         ids = batch.column("id").to_numpy()
         places = batch.column("places")
         first = np.concatenate([[0], np.cumsum(np.diff(places.offsets.to_numpy()))])
-        flat = places.flatten().to_numpy()
+        flat = places.flatten()
+        pos, start, size = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
         for i, j in steps(offsets):
             d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            part = slice(first[i], first[j])
             row = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
-            at = o[row] + flat[first[i] : first[j]]
+            at, begin = o[row] + pos[part], o[row] + start[part]
+            stop = begin + size[part]
             prefix, prefix2 = _hash.prefix(d), _second.prefix(d)
             rows, keys, starts, ends = [], [], [], []
             for side, (k0, k1, s, e) in enumerate(
                 # key, and the windows that have the anchor at least half a gap in; the others
-                ((at - half, at + GRAM, at - (length - GRAM), at - half + length), (at, at + length - half + 1, at - half + 1, at + length))
+                ((at - half, at + GRAM, begin, np.minimum(stop, at - half + length)), (at, at + length - half + 1, np.maximum(begin, at - half + 1), stop))
             ):
-                s, e = np.maximum(s, o[row]), np.minimum(e, o[row + 1])
-                ok = (k0 >= o[row]) & (k1 <= o[row + 1]) & (e - s >= length)
+                ok = e - s >= length  # these windows hold the key
                 rows.append(row[ok])
                 keys.append(_hash.ranges(prefix, k0[ok], k1[ok]) + np.uint64(side))
                 starts.append(s[ok])
@@ -257,13 +261,23 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, merge_bytes: int) -
     def work(tables: list[pa.Table]) -> pa.RecordBatch | None:
         table = pa.concat_tables(tables)
         key = table.column("key").to_numpy()
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        table = table.take(pa.array(np.flatnonzero(count[inverse] > 1)))  # a key of its own decides nothing
-        if not len(table):
-            return None
-        sizes = table.column("size").to_numpy().astype(np.int64)
-        data = np.frombuffer(b"".join(table.column("segment").to_pylist()), np.uint8)
-        return out(*repeated(table.column("id").to_numpy(), table.column("start").to_numpy().astype(np.int64), sizes, data, length))
+        segment = table.column("segment").combine_chunks()
+        if isinstance(segment, pa.ChunkedArray):
+            segment = pa.concat_arrays(segment.chunks)
+        text = segment.dictionary_encode().indices.to_numpy()
+        ids, starts, sizes = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "start", "size"))
+        # rows come by key and place: of equal segments the first one stays, the others are repeated as a whole
+        order, new, later = _classes(key, text, ids, starts)
+        done = order[later]
+        keep = np.sort(order[new])
+        _, inverse, count = np.unique(key[keep], return_inverse=True, return_counts=True)
+        keep = keep[count[inverse] > 1]  # a key of its own decides nothing
+        found = [(ids[done], starts[done], sizes[done])]
+        if len(keep):
+            data = np.frombuffer(b"".join(segment.take(pa.array(keep)).to_pylist()), np.uint8)
+            found.append(repeated(ids[keep], starts[keep], sizes[keep], data, length))
+        got = merged_ranges(*(np.concatenate(x) for x in zip(*found)))
+        return out(*got) if len(got[0]) else None
 
     held: list[pa.Table] = []  # whole keys, but for the last one
     total, last = 0, None
@@ -325,14 +339,14 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, merge_bytes: int = MERGE_BYTES) -> DataFrame:
     """For each row: its id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (the remaining
     bytes) and ``spans`` (the removed runs)."""
-    if length % 2 or length < GRAM + 8:
-        raise ValueError(f"length must be even and at least {GRAM + 8}")
+    if length % 4 or length < GRAM + 8:
+        raise ValueError(f"length must be a multiple of 4 and at least {GRAM + 8}")
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = docs.where("id is not null")
     found = named.mapInArrow(lambda b: _find(b, length), ANCHOR).repartition("h").sortWithinPartitions("h", "c", "id", "pos")
     decided = written(found.mapInArrow(_decide, RANGES), "anchors")
-    places = decided.where("pos >= 0").groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    places = decided.where("pos >= 0").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("pos", "start", "size"))).alias("places"))
     # texts always move by a sort-merge join: one exchange of them for both joins, at every size
     cut = named.join(places.hint("merge"), "id").mapInArrow(lambda b: _cut(b, length), "key long, id long, start int, size int, segment binary")
     cut = cut.repartition("key").sortWithinPartitions("key", "id", "start")

@@ -41,7 +41,7 @@ def test_merge_of_transforms():
         assert first.tolist() == [i for i in range(len(cut)) if i == 0 or cut[i] != cut[i - 1]]
         for i in range(1, len(cut)):
             same = next((k for k in range(length) if cut[i][k] != cut[i - 1][k]), length)
-            assert common[i] == same - same % 2
+            assert common[i] == same - same % 4
 
 
 def test_whole_table(spark):
