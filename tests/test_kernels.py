@@ -130,3 +130,23 @@ def test_lz4_round_trip():
     codec = pa.Codec("lz4_raw")
     raw = b"abc" * 500
     assert codec.decompress(codec.compress(raw, asbytes=True), len(raw), asbytes=True) == raw
+
+
+def test_bins_do_not_depend_on_batches():
+    from siltstone.operators.grouping import _bins
+
+    rng = np.random.default_rng(8)
+    keys = np.sort(rng.integers(0, 6, 200))
+    count = np.bincount(keys)
+    table = pa.table({"key": pa.array([f"k{k}" for k in keys]), "item": pa.array(np.arange(200)), "size": pa.array(rng.integers(1, 8, 200)), "items": pa.array(count[keys])})
+    for fit in ("next", "best", "first"):
+        results = set()
+        for size in (1, 3, 1000):
+            results.add(tuple(sorted((r["item"], r["bin"]) for b in _bins(iter(table.to_batches(max_chunksize=size)), 8, fit, 40) for r in b.to_pylist())))
+        assert len(results) == 1
+        (rows,) = results
+        fill = {}
+        for item, bin_ in rows:
+            fill.setdefault(bin_, []).append(item)
+            assert keys[item] == keys[bin_]
+        assert all(sum(table["size"][i].as_py() for i in items) <= 8 and min(items) == b for b, items in fill.items())
