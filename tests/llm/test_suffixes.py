@@ -80,3 +80,30 @@ def test_many_small_repeats(spark, merge_bytes):
         assert sum(x["end"] - x["start"] for x in r.spans) == r.n_removed and len(r.spans) == r.n_spans
     assert len(got) == len(rows)
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_decisions_do_not_depend_on_batches(size):
+    import pyarrow as pa
+
+    from siltstone.llm.suffixes import _decide
+
+    rng = random.Random(11)
+    rows = sorted({(rng.randrange(12), rng.randrange(3), rng.randrange(6), rng.choice([-1, 0, 1, 2])) for _ in range(120)} | {(99, 0, 1, 0)})
+    rows += rows[:0]
+    rows = sorted(rows * 2)  # repeated rows stand for repeated ids
+    names = ("h", "c", "id", "pos")
+    cols = {n: [r[k] for r in rows] for k, n in enumerate(names)} | {"start": [r[3] * 10 for r in rows], "size": [7] * len(rows)}
+    types = {"h": pa.int64(), "c": pa.int64(), "id": pa.int64(), "pos": pa.int32(), "start": pa.int32(), "size": pa.int32()}
+    table = pa.table({n: pa.array(cols[n], t) for n, t in types.items()})
+    got = [tuple(r.values()) for b in _decide(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    real = [r for r in rows if r[3] >= 0]
+    classes, first = {}, {}
+    for h, c, i, p in real:
+        classes.setdefault(h, set()).add(c)
+        first.setdefault((h, c), (i, p))
+    want = [(i, p * 10, 7, -1) for h, c, i, p in rows if p < 0]
+    later = {(h, c, i, p) for h, c, i, p in real if (i, p) != first[h, c]}
+    undecided = [(i, p * 10, 7, p) for (h, c), (i, p) in first.items() if len(classes[h]) > 1]
+    assert sorted(g for g in got if g[3] >= 0) == sorted(undecided)
+    assert {g for g in got if g[3] < 0} == set(want) | {(i, p * 10, 7, -1) for _, _, i, p in later}
