@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import fresh, read_table
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 
 #: Statistics, in the order in which the trees see them.
 NAMES = (
@@ -50,7 +48,7 @@ def with_statistics(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
     )
 
     def share(of: str) -> Column:
-        return 1 - F.char_length(F.translate(text, of, "")) / F.greatest(chars, F.lit(1))
+        return F.regexp_count(text, F.lit(of)) / F.greatest(chars, F.lit(1))
 
     values = (
         F.log1p(chars),
@@ -59,7 +57,7 @@ def with_statistics(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
         own_words / words,
         F.log1p(own_words),
         own_lines / lines,
-        *(share(of) for of in (UPPER, "0123456789", "#$%&*@^~<>{}[]\\/=_+", "|", "!?", ".,;:")),
+        *(share(of) for of in ("[A-Z]", "[0-9]", r"[#$%&*@^~<>{}\[\]\\/=_+]", r"[|]", "[!?]", "[.,;:]")),
     )
     return df.select(*kept, *(v.cast("double").alias(prefix + n) for n, v in zip(NAMES, values)))
 
