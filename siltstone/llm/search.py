@@ -4,17 +4,18 @@ Global statistics (number of documents, mean length, document frequencies of the
 computed first, so that scores of different shards agree.  A shard is a partition of the documents.  In it,
 for a query:
 
-* the lists with the highest bounds are read first; the best of what they find, scored in full, gives a
-  threshold that at least k documents reach;
-* WAND: lists whose bounds together stay below the threshold cannot lift a document over it alone, so
-  only the other lists are read;
-* block-max: documents found that way are skipped if their partial score and the maxima of the remaining
-  lists in their block of documents stay below the threshold;
-* what is left is scored in full.
-
-Pruning drops only documents that cannot be among the k best, ties included; so the result is exact.
+* the lists of rare terms are read into partial scores; lists of frequent terms are not read, but bounded by
+  their maxima in each block of documents (block-max);
+* the documents with the highest bounds are scored, which gives a threshold that at least k documents
+  reach;
+* WAND: all documents whose bound stays below the threshold are skipped, with the whole of the frequent
+  lists for them; the test runs for all documents at once instead of moving a pivot from list to list;
+* what is left is scored, and the best of it again in double precision.
+
+A sixteenth of the documents, chosen by a hash of the id, is searched first; its k-th best score is a
+threshold for the search in all others.  Pruning drops only documents that cannot be among the k best, ties included; so the result is exact.
 Queries go to the shards in blocks of at most ``BLOCK_TERMS`` terms (a broadcast with that bound); several
-blocks are several passes over the index.  Shards' results are merged in two levels, k per query and shard.
+blocks are several passes over the documents.  Shards' results are merged in two levels, k per query and shard.
 
 Defined results: ties go to the smaller id; only documents that share a term with the query are found;
 a query without words finds nothing; documents with a null id count in the statistics but are not found;
@@ -34,9 +35,14 @@ from siltstone.llm.common import bounded_batches, read_table, steps, text_bytes,
 from siltstone.llm.words import Words
 
 K1, B = 1.2, 0.75
-BLOCK_DOCS = 64
+BLOCK_DOCS = 8
+#: Terms of at least one in so many documents of a shard count as frequent, the most frequent so many at most.
+FREQUENT, MOST_DENSE = 20, 1024
+#: Sums of single precision are this close to the exact ones, and far closer.
+SLACK = 1e-4
 BLOCK_TERMS = 2_000_000
-FORWARD = "id long, length long, terms binary, counts binary"
+#: Terms of the documents that are indexed at once, which bounds the memory of a task.
+PIECE_TERMS = 1_600_000
 
 
 def _lists(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -45,47 +51,69 @@ def _lists(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(total)
 
 
-def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text: distinct terms (64-bit hashes, sorted) and their counts."""
+def bags(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms (64-bit hashes, in order) of each text, their counts, and how many each text has."""
+    n = len(words.first) - 1
+    row = np.repeat(np.arange(n), np.diff(words.first))
+    order = np.argsort(words.hash, kind="stable")
+    order = order[np.argsort(row[order].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]
+    h, r = words.hash[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+    at = np.flatnonzero(new)
+    counts = np.diff(np.concatenate([at, [len(h)]])).astype(np.uint32)
+    return h[at], counts, np.bincount(r[at], minlength=n)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Words]]:
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         for i, j in steps(offsets):
-            words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            terms, counts = [], []
-            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-                t, n = np.unique(words.hash[a:b], return_counts=True)
-                terms.append(t.tobytes())
-                counts.append(n.astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(i, j - i), pa.array(np.diff(words.first)), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
-                names=["id", "length", "terms", "counts"],
-            )
+            yield batch.column("id").slice(i, j - i), Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text: its distinct terms and their counts, as bytes."""
+    for ids, words in _each(batches):
+        terms, counts, size = bags(words)
+        cut = np.concatenate([[0], np.cumsum(size)])
+        columns = [pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for x in (terms, counts)]
+        yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", "terms", "counts"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms and in how many texts of the task they are."""
-    terms, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        found = [terms]
-        weight = [counts]
-        for i, j in steps(offsets):
-            words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            row = np.repeat(np.arange(j - i), np.diff(words.first))
-            order = np.lexsort((row, words.hash))
-            h, r = words.hash[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-            t, n = np.unique(h[new], return_counts=True)
-            found.append(t)
-            weight.append(n)
-        terms, inverse = np.unique(np.concatenate(found), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate(weight), len(terms)).astype(np.int64)
-        if len(terms) > 1 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], names=["term", "n"])
-            terms, counts = terms[:0], counts[:0]
-    for k in range(0, len(terms), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(terms[k : k + (1 << 16)].view(np.int64)), pa.array(counts[k : k + (1 << 16)])], names=["term", "n"])
+    """Terms and in how many texts of the task they are; and the number of all words (without a term)."""
+
+    def out(terms: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(terms), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(terms[k : k + (1 << 16)].view(np.int64)), pa.array(counts[k : k + (1 << 16)])], names=["term", "n"])
+
+    terms, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    held = [(terms, counts)]
+    size = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        t, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(t, kind="stable")
+        t, n = t[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+        return t[at], np.add.reduceat(n, at) if len(at) else n
+
+    for _, words in _each(batches):
+        total += len(words)
+        t, _, _ = bags(words)
+        t = np.sort(t)
+        at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+        held.append((t[at], np.diff(np.concatenate([at, [len(t)]])).astype(np.int64)))
+        size += len(at)
+        if size > 1 << 21:
+            held = [merged()]
+            size = len(held[0][0])
+            if size > 1 << 20:
+                yield from out(*held[0])
+                held, size = [(terms, counts)], 0
+    yield from out(*merged())
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["term", "n"])
 
 
 class Index:
@@ -94,68 +122,77 @@ class Index:
     def __init__(self, ids: np.ndarray, length: np.ndarray, terms: np.ndarray, counts: np.ndarray, size: np.ndarray, mean: float):
         self.ids = ids
         n = len(ids)
-        doc = np.repeat(np.arange(n, dtype=np.int32), size)
-        norm = K1 * (1 - B + B * length / mean) if mean else np.ones(n)
-        weight = counts * (K1 + 1) / (counts + np.repeat(norm, size))
-        self.vocabulary, term = np.unique(terms, return_inverse=True)
-        term = term.astype(np.int32)
+        self.norm = K1 * (1 - B + B * length / mean) if mean else np.ones(n)
         self.doc_first = np.concatenate([[0], np.cumsum(size)])
-        self.doc_term, self.doc_weight = term, weight
-        order = np.argsort(term, kind="stable")
-        self.docs, self.weights = doc[order], weight[order].astype(np.float32)
-        self.first = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
-        # bounds are rounded up, since lists hold single precision
-        up = np.float32(1 + 1e-6)
-        self.most = np.maximum.reduceat(self.weights, self.first[:-1]) * up if len(self.docs) else np.zeros(0, np.float32)
-        block = self.docs // BLOCK_DOCS
-        new = np.ones(len(block), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[self.first[:-1]] = True
-        at = np.flatnonzero(new)
-        self.block = block[at]
-        self.block_most = np.maximum.reduceat(self.weights, at) * up if len(at) else np.zeros(0, np.float32)
-        self.block_first = np.searchsorted(at, self.first)
-        self.n_blocks = n // BLOCK_DOCS + 1
+        self.doc_count = counts
+        order = np.argsort(terms, kind="stable")
+        by_term = terms[order]
+        new = np.ones(len(terms), bool)
+        new[1:] = by_term[1:] != by_term[:-1]
+        self.vocabulary = by_term[new]
+        self.first = np.concatenate([np.flatnonzero(new), [len(terms)]])
+        del by_term
+        self.doc_term = np.empty(len(terms), np.int32)
+        self.doc_term[order] = np.cumsum(new, dtype=np.int32) - 1
+        doc = np.repeat(np.arange(n, dtype=np.int32), size)
+        self.docs = doc[order]
+        c = counts[order].astype(np.float32)
+        self.weights = c * np.float32(K1 + 1) / (c + self.norm[self.docs].astype(np.float32))
+        del order, doc, c, new
+        # frequent terms have dense rows, and their maxima in each block of documents
+        df = np.diff(self.first)
+        chosen = np.flatnonzero(df >= max(2, n // FREQUENT))
+        chosen = chosen[np.argsort(-df[chosen], kind="stable")[:MOST_DENSE]]
+        self.row = np.full(len(df), -1, np.int32)
+        self.row[chosen] = np.arange(len(chosen))
+        self.dense = np.zeros((len(chosen), n), np.float32)
+        for r, t in enumerate(chosen):
+            part = slice(self.first[t], self.first[t + 1])
+            self.dense[r, self.docs[part]] = self.weights[part]
+        self.most = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK_DOCS), axis=1) if n else self.dense
 
     def full(self, docs: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """Exact scores; ``dense``: the query's weight of each term of the shard."""
         size = np.diff(self.doc_first)[docs]
         at = _lists(self.doc_first[docs], size)
-        return np.bincount(np.repeat(np.arange(len(docs)), size), self.doc_weight[at] * dense[self.doc_term[at]], len(docs))
+        count = self.doc_count[at].astype(np.float64)
+        weight = count * (K1 + 1) / (count + np.repeat(self.norm[docs], size))
+        return np.bincount(np.repeat(np.arange(len(docs)), size), weight * dense[self.doc_term[at]], len(docs))
 
     def partial(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         size = self.first[terms + 1] - self.first[terms]
         at = _lists(self.first[terms], size)
         return np.bincount(self.docs[at], self.weights[at] * np.repeat(weights, size), len(self.ids))
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best documents and scores; ``terms`` are places in the vocabulary."""
-        bound = self.most[terms] * weights
-        order = np.argsort(-bound, kind="stable")
-        terms, weights, bound = terms[order], weights[order], bound[order]
-        rest = bound.sum() - np.cumsum(bound)
-        dense[terms] = weights
-        size = np.cumsum(self.first[terms + 1] - self.first[terms])
-        a = min(len(terms), max(8, int(np.searchsorted(size, len(self.ids) // 2))))
-        score = self.partial(terms[:a], weights[:a])
-        best = self._best(score, 3 * k)
-        exact = self.full(best, dense)
-        low = np.partition(exact, -k)[-k] * (1 - 1e-5) if len(exact) >= k else 0.0  # rounding of bounds stays below it
-        need = min(len(terms), int(np.count_nonzero(rest >= low)) + 1)  # the lists that are read
-        if need > a:
-            score += self.partial(terms[a:need], weights[a:need])
-        need = max(need, a)
-        left = np.zeros(self.n_blocks)
-        if need < len(terms):
-            t = terms[need:]
-            size = self.block_first[t + 1] - self.block_first[t]
-            at = _lists(self.block_first[t], size)
-            left = np.bincount(self.block[at], self.block_most[at] * np.repeat(weights[need:], size), self.n_blocks)
-        docs = np.flatnonzero(score)
-        if low > 0:
-            docs = docs[score[docs] * (1 + 1e-5) + left[docs // BLOCK_DOCS] >= low]
-        exact = self.full(docs, dense)
-        dense[terms] = 0
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, scratch: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """The k best documents and scores, except that documents with less than ``least`` may be missing; ``terms`` are
+        places in the vocabulary."""
+        rows = self.row[terms]
+        often = rows >= 0
+        score = self.partial(terms[~often], weights[~often])
+        rows, own = rows[often], weights[often].astype(np.float32)
+        bound = score + np.repeat(own @ self.most[rows], BLOCK_DOCS)[: len(score)]
+        low = least * (1 - SLACK)
+        if low <= 0:
+            # the documents with the best bounds give a threshold that k documents reach
+            first = self._best(bound, 3 * k)
+            reached = score[first] + own @ self.dense[np.ix_(rows, first)]
+            low = np.partition(reached, -k)[-k] * (1 - SLACK) if len(first) >= k else 0.0
+        # all others are looked at only if their block could lift them over it
+        docs = np.flatnonzero((bound * (1 + SLACK) >= low) & (bound > 0))
+        if not len(docs):
+            return docs, score[docs]
+        if len(docs) > len(score) // 4:
+            near = (score + own @ self.dense[rows])[docs]
+        else:
+            near = score[docs] + own @ self.dense[np.ix_(rows, docs)]
+        if len(docs) > k:
+            low = max(low, np.partition(near, -k)[-k] * (1 - SLACK))
+        close = (near * (1 + SLACK) >= low) & (near > 0)
+        docs = docs[close]
+        scratch[terms] = weights
+        exact = self.full(docs, scratch)  # double precision, in the order of the document's terms
+        scratch[terms] = 0
         top = np.lexsort((self.ids[docs], -exact))[:k]
         return docs[top], exact[top]
 
@@ -165,46 +202,47 @@ class Index:
         return docs if len(docs) <= k else docs[np.argpartition(score[docs], -k)[-k:]]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list]:
-    """Rows of the forward index in pieces of about ``most`` terms, as arrays."""
-    ids, length, terms, counts, size, total = [], [], [], [], [], 0
-    for batch in batches:
-        for i in range(len(batch)):
-            id_ = batch.column("id")[i].as_py()
-            if id_ is None:
-                continue
-            t = np.frombuffer(batch.column("terms")[i].as_buffer(), np.uint64).copy()
-            ids.append(id_)
-            length.append(batch.column("length")[i].as_py())
-            terms.append(t)
-            counts.append(np.frombuffer(batch.column("counts")[i].as_buffer(), np.uint32).copy())
-            size.append(len(t))
-            total += len(t)
-            if total >= most:
-                yield [np.array(ids), np.array(length, np.float64), np.concatenate(terms), np.concatenate(counts), np.array(size)]
-                ids, length, terms, counts, size, total = [], [], [], [], [], 0
-    if ids:
-        yield [np.array(ids), np.array(length, np.float64), np.concatenate(terms), np.concatenate(counts), np.array(size)]
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """Documents with ids in pieces of about ``most`` terms: ids, lengths, terms, counts, terms of each."""
+    held: list[tuple] = []
+    total = 0
+    for ids, words in _each(batches):
+        terms, counts, size = bags(words)
+        has = np.asarray(ids.is_valid())
+        length = np.diff(words.first).astype(np.float64)
+        if not has.all():
+            keep = np.repeat(has, size)
+            terms, counts, size, length = terms[keep], counts[keep], size[has], length[has]
+        held.append((ids.drop_null().to_numpy(), length, terms, counts, size))
+        total += len(terms)
+        if total >= most:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, total = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def _search(batches: Iterator[pa.RecordBatch], queries, k: int, mean: float) -> Iterator[pa.RecordBatch]:
     """For each query that finds something in a shard of the task: its k best."""
-    query_ids, q_terms, q_weights, q_first = queries.value
+    query_ids, q_terms, q_weights, q_first, least = queries.value
     found = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
-    for rows in _gathered(batches, 3_000_000):
+    for rows in _gathered(batches, PIECE_TERMS):
         index = Index(*rows, mean)
-        place = np.searchsorted(index.vocabulary, q_terms)
+        del rows
+        place = np.searchsorted(index.vocabulary, q_terms).astype(np.int32)
         here = place < len(index.vocabulary)
         here[here] = index.vocabulary[place[here]] == q_terms[here]
-        dense = np.zeros(len(index.vocabulary))
+        scratch = np.zeros(len(index.vocabulary))
         out_q, out_r = [], []
         for q in range(len(query_ids)):
             part = slice(q_first[q], q_first[q + 1])
             own = here[part]
             if own.any():
-                docs, score = index.search(place[part][own], q_weights[part][own], k, dense)
-                out_q.append(query_ids[q])
-                out_r.append([{"score": s, "id": d} for s, d in zip(score.tolist(), index.ids[docs].tolist())])
+                docs, score = index.search(place[part][own], q_weights[part][own], k, scratch, least[q])
+                if len(docs):
+                    out_q.append(query_ids[q])
+                    out_r.append([{"score": s, "id": d} for s, d in zip(score.tolist(), index.ids[docs].tolist())])
+        del index, place, here, scratch
         for i in range(0, len(out_q), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(out_q[i : i + 4096], pa.int64()), pa.array(out_r[i : i + 4096], found)], names=["query_id", "found"])
 
@@ -222,38 +260,58 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id
     bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_text).alias("text")).where(F.col("id").isNotNull())
-    forward = docs.mapInArrow(_forward, FORWARD)
-    one = asked.mapInArrow(_forward, FORWARD).where("length > 0").groupBy("id").agg(F.min(F.struct("terms", "counts")).alias("q"))
-    asked = written(one.select("id", "q.*", (F.octet_length("terms") / 8).cast("long").alias("n")), "queries")
-    stats = docs.select(F.coalesce(F.octet_length("text"), F.lit(0))).count()
+    one = asked.mapInArrow(_terms, "id long, terms binary, counts binary").where(F.octet_length("terms") > 0)
+    asked = written(one.groupBy("id").agg(F.min(F.struct("terms", "counts")).alias("q")).select("id", "q.*"), "queries")
     words = written(docs.mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df")), "frequencies")
-    total = forward.agg(F.sum("length")).first()[0] or 0
-    mean = total / stats if stats else 0.0
+    count = docs.count()
+    total = words.where("term is null").agg(F.sum("df")).first()[0] or 0
+    mean = total / count if count else 0.0
     terms = asked.mapInArrow(_exploded, "id long, term long, tf long")
-    idf = F.log1p((F.lit(float(stats)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log1p((F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(words, "term").select("id", "term", (F.col("tf") * idf).alias("weight"))
     listed = written(weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("terms"), F.count(F.lit(1)).alias("n")), "weighted")
     blocks = max(1, -(-(listed.agg(F.sum("n")).first()[0] or 0) // block_terms))
-    if blocks > 1:
-        forward = written(forward, "forward")
+    # a sixteenth of the documents is searched first: the k-th best score there is a threshold for all others
+    ahead = F.pmod(F.xxhash64("id"), F.lit(16)) == 0
+    named = docs.where("id is not null")
+    shards = max(1, -(-total // (16 * PIECE_TERMS)))
     parts = []
     for b in range(blocks):
-        got = listed.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "terms.term", "terms.weight").toArrow()
-        size = np.array([len(x) for x in got.column("term")], np.int64)
-        flat = [got.column(c).combine_chunks() for c in ("term", "weight")]
-        values = [(f.chunk(0) if isinstance(f, pa.ChunkedArray) and f.num_chunks else f).flatten().to_numpy(zero_copy_only=False) if len(got) else np.zeros(0) for f in flat]
-        value = (got.column("id").to_numpy(), values[0].astype(np.int64).view(np.uint64), values[1].astype(np.float64), np.concatenate([[0], np.cumsum(size)]))
-        shared = spark.sparkContext.broadcast(value)
-        parts.append(forward.mapInArrow(lambda it, s=shared: _search(it, s, k, mean), "query_id long, found array<struct<score:double,id:long>>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64))))
+        value = _block(listed.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)) == b))
+        early = written(_best_of_shards(_found(named.where(ahead).repartition(max(4, shards)), value, k, mean), k), "early")
+        reached = {r["query_id"]: r["least"] for r in early.where(F.size("found") >= k).select("query_id", F.element_at("found", k)["score"].alias("least")).collect()}
+        least = np.array([reached.get(q, 0.0) for q in value[0].tolist()])
+        parts += [early, _best_of_shards(_found(named.where(~ahead), (*value[:4], least), k, mean), k)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    merged = every.groupBy("query_id", "part").agg(_best_of(F.collect_list("found"), k).alias("found"))
-    merged = merged.groupBy("query_id").agg(_best_of(F.collect_list("found"), k).alias("found"))
+    merged = every.groupBy("query_id").agg(_best_of(F.collect_list("found"), k).alias("found"))
     ranked = merged.select("query_id", F.posexplode("found").alias("place", "hit"))
     return ranked.select("query_id", (F.col("place") + 1).alias("rank"), F.col("hit.id").alias("doc_id"), F.round("hit.score", 6).alias("score"))
 
 
+def _block(listed: DataFrame) -> tuple:
+    """Queries as arrays: ids, terms and weights, where each one's terms start, thresholds.  The caller keeps
+    their number of terms bounded."""
+    got = listed.select("id", F.col("terms.term").alias("t"), F.col("terms.weight").alias("w")).toPandas().sort_values("id")
+    size = np.array([len(x) for x in got["t"]], np.int64)
+    flat = [np.concatenate([np.asarray(x) for x in got[c]]) if len(got) else np.zeros(0) for c in ("t", "w")]
+    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return got["id"].to_numpy(np.int64), flat[0].astype(np.int64).view(np.uint64), flat[1].astype(np.float64), first, np.zeros(len(got))
+
+
+def _found(docs: DataFrame, value: tuple, k: int, mean: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(value)
+    found = docs.mapInArrow(lambda it: _search(it, shared, k, mean), "query_id long, found array<struct<score:double,id:long>>")
+    return found.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+
+
+def _best_of_shards(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, in two steps, so that no list is longer than those of a 64th of the shards."""
+    merged = found.groupBy("query_id", "part").agg(_best_of(F.collect_list("found"), k).alias("found"))
+    return merged.groupBy("query_id").agg(_best_of(F.collect_list("found"), k).alias("found"))
+
+
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, len(batch), 64):
