@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.functions.gear import FEATURES, SAMPLE_MASKS
+from siltstone.functions.gear import FEATURES, SAMPLE_MASKS, cut_parameters
 
 CHUNK = 1024
 
@@ -22,31 +22,39 @@ uniq AS (
 )"""
 
 
-def _doubling() -> str:
-    steps = ["h1 AS (SELECT chunk_id, i, g AS h FROM geared)"]
+NUMBER = "('0x' || substr(sha256({}), 1, 16))::UBIGINT::UHUGEINT"
+
+
+def _doubling(p: str) -> str:
+    steps = [f"{p}h1 AS (SELECT chunk_id, i, g AS h FROM {p}geared)"]
     for k in (1, 2, 4, 8, 16, 32):
         steps.append(
-            f"h{2 * k} AS (SELECT chunk_id, i, ((h + coalesce(lag(h, {k}) OVER (PARTITION BY chunk_id ORDER BY i), 0::UHUGEINT) * {1 << k}::UHUGEINT)"
-            f" % 18446744073709551616::UHUGEINT) AS h FROM h{k})"
+            f"{p}h{2 * k} AS (SELECT chunk_id, i, ((h + coalesce(lag(h, {k}) OVER (PARTITION BY chunk_id ORDER BY i), 0::UHUGEINT) * {1 << k}::UHUGEINT)"
+            f" % 18446744073709551616::UHUGEINT) AS h FROM {p}h{k})"
         )
     return ",\n".join(steps)
 
 
-def features(sample_bits: int = 2) -> str:
-    """``feat``: chunk_id and the features f0, f1, ... as unsigned numbers."""
-    number = "('0x' || substr(sha256({}), 1, 16))::UBIGINT::UHUGEINT"
-    mul = ", ".join(f"(({number.format(repr(f'a{j}'))}) | 1::UHUGEINT) AS a{j}, {number.format(repr(f'b{j}'))} AS b{j}" for j in range(FEATURES))
+GEAR = f"gear AS (SELECT v::UTINYINT AS v, {NUMBER.format("unhex(printf('%02x', v))")} AS g FROM range(256) AS t(v))"
+
+
+def _features(source: str, p: str, sample_bits: int) -> str:
+    """``{p}feat``: chunk_id and the features of the content of ``source``."""
+    mul = ", ".join(f"(({NUMBER.format(repr(f'a{j}'))}) | 1::UHUGEINT) AS a{j}, {NUMBER.format(repr(f'b{j}'))} AS b{j}" for j in range(FEATURES))
     best = ", ".join(f"max((h * a{j} % 18446744073709551616::UHUGEINT + b{j}) % 18446744073709551616::UHUGEINT) AS f{j}" for j in range(FEATURES))
     zero = ", ".join(f"coalesce(f{j}, 0::UHUGEINT) AS f{j}" for j in range(FEATURES))
-    return f"""{UNIQUE},
-gear AS (SELECT v::UTINYINT AS v, {number.format("unhex(printf('%02x', v))")} AS g FROM range(256) AS t(v)),
-bytes AS (SELECT chunk_id, i, ('0x' || substr(x, (2 * i + 1)::INT, 2))::UTINYINT AS v
-          FROM (SELECT chunk_id, hex(content) AS x, size FROM uniq), unnest(range(size)) AS t(i)),
-geared AS (SELECT chunk_id, i, g FROM bytes JOIN gear USING (v)),
-{_doubling()},
-linear AS (SELECT {mul}),
-best AS (SELECT chunk_id, {best} FROM h64, linear WHERE h & {SAMPLE_MASKS[sample_bits]}::UHUGEINT = 0 GROUP BY chunk_id),
-feat AS (SELECT u.chunk_id, {zero} FROM uniq u LEFT JOIN best USING (chunk_id))"""
+    return f"""{p}bytes AS (SELECT chunk_id, i, ('0x' || substr(x, (2 * i + 1)::INT, 2))::UTINYINT AS v
+          FROM (SELECT chunk_id, hex(content) AS x, octet_length(content) AS size FROM {source}), unnest(range(size)) AS t(i)),
+{p}geared AS (SELECT chunk_id, i, g FROM {p}bytes JOIN gear USING (v)),
+{_doubling(p)},
+{p}linear AS (SELECT {mul}),
+{p}best AS (SELECT chunk_id, {best} FROM {p}h64, {p}linear WHERE h & {SAMPLE_MASKS[sample_bits]}::UHUGEINT = 0 GROUP BY chunk_id),
+{p}feat AS (SELECT u.chunk_id, {zero} FROM {source} u LEFT JOIN {p}best USING (chunk_id))"""
+
+
+def features(sample_bits: int = 2) -> str:
+    """``feat``: chunk_id and the features f0, f1, ... as unsigned numbers."""
+    return f"{UNIQUE},\n{GEAR},\n{_features('uniq', '', sample_bits)}"
 
 
 def _signed(x: str) -> str:
@@ -71,6 +79,60 @@ placed AS (SELECT *, (row_number() OVER ({by}ORDER BY {order}) - 1) // {cap} AS
 packs AS (SELECT min(chunk_id) OVER (PARTITION BY {part}pack) AS grp, chunk_id, count(*) OVER (PARTITION BY {part}pack) AS members FROM placed)"""
 
 
+def cuts(average: int = 256, source: str = "uniq") -> str:
+    """``pieces``: chunk_id, seq, s, e of the content-defined pieces of ``source`` (needs RECURSIVE and ``gear``)."""
+    least, most, mask = cut_parameters(average)
+    byte = "('0x' || substr(x, (2 * pos + 1)::INT, 2))::INT"
+    return f"""cut_gear AS (SELECT list((g >> 32)::BIGINT ORDER BY v) AS gl FROM gear),
+hexed AS (SELECT chunk_id, size, hex(content) AS x FROM {source}),
+walk AS (
+  SELECT chunk_id, 0::BIGINT AS s, least({least}, size)::BIGINT AS pos, 0::BIGINT AS fp, NULL::BIGINT AS was, NULL::BIGINT AS e FROM hexed
+  UNION ALL
+  SELECT chunk_id, CASE WHEN done THEN nxt ELSE s END, CASE WHEN done THEN least(nxt + {least}, size) ELSE nxt END, CASE WHEN done THEN 0 ELSE f END,
+         CASE WHEN done THEN s END, CASE WHEN done THEN nxt END
+  FROM (SELECT *, (NOT inside) OR (f & {mask}) = 0 AS done, CASE WHEN inside THEN pos + 1 ELSE pos END AS nxt
+        FROM (SELECT *, CASE WHEN inside THEN ((fp >> 1) + gl[{byte} + 1]) % 4294967296 ELSE fp END AS f
+              FROM (SELECT w.*, h.size, h.x, gl, pos < least(s + {most}, h.size) AS inside FROM walk w JOIN hexed h USING (chunk_id), cut_gear WHERE w.s < h.size)))),
+pieces AS (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY was) - 1 AS seq, was AS s, e FROM walk WHERE e IS NOT NULL)"""
+
+
+def representative(choice: str) -> str:
+    """``reps``: chunk_id, s, e of the piece that stands for a chunk (needs ``pieces``)."""
+    ranked = """hashed AS (SELECT p.*, sha256(array_slice(u.content, s + 1, e)) AS fp, p.seq > 0 AND e < u.size AS inner_ FROM pieces p JOIN uniq u USING (chunk_id)),
+largest AS (SELECT chunk_id, s, e FROM hashed QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY e - s DESC, s) = 1),"""
+    order = "fp, s" if choice.startswith("min_hash") else "e - s DESC, s"
+    if not choice.endswith("inner"):
+        return f"{ranked}\nreps AS (SELECT chunk_id, s, e FROM hashed QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY {order}) = 1)"
+    return f"""{ranked}
+best_inner AS (SELECT chunk_id, s, e FROM hashed WHERE inner_ QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY {order}) = 1),
+reps AS (SELECT l.chunk_id, coalesce(b.s, l.s) AS s, coalesce(b.e, l.e) AS e FROM largest l LEFT JOIN best_inner b USING (chunk_id))"""
+
+
+def rebinned() -> str:
+    """``first_`` and ``third``: groups (grp, chunk_id, members) of the ranked hierarchy, before and after leftovers are
+    put together by their representatives."""
+    return f"""{keys()}, {packed('a', 'b DESC, c DESC, chunk_id')},
+grouped AS (SELECT grp, chunk_id, members FROM packs WHERE members > 1),
+first_ AS (SELECT * FROM grouped UNION ALL SELECT chunk_id, chunk_id, 1 FROM uniq WHERE chunk_id NOT IN (SELECT chunk_id FROM grouped)),
+{cuts()},
+{representative('min_hash')},
+subs AS (SELECT r.chunk_id, array_slice(u.content, s + 1, e) AS content FROM reps r JOIN uniq u USING (chunk_id)
+         WHERE chunk_id IN (SELECT grp FROM first_ WHERE members < 8)),
+{_features('subs', 's_', 2)},
+items AS (SELECT f.grp AS item, any_value(f.members) AS size, any_value(md5({" || ',' || ".join(_signed(f"k.f{j}") for j in range(4))})) AS key
+          FROM first_ f JOIN s_feat k ON k.chunk_id = f.grp WHERE members < 8 GROUP BY f.grp),
+seq_ AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY size > 1, item) AS n FROM items),
+fit AS (
+  SELECT key, n, item, item AS bin, size AS fill FROM seq_ WHERE n = 1
+  UNION ALL
+  SELECT q.key, q.n, q.item, CASE WHEN w.fill + q.size > 8 THEN q.item ELSE w.bin END, CASE WHEN w.fill + q.size > 8 THEN q.size ELSE w.fill + q.size END
+  FROM fit w JOIN seq_ q ON q.key = w.key AND q.n = w.n + 1),
+third AS (
+  SELECT grp, chunk_id, members FROM first_ WHERE members >= 8
+  UNION ALL
+  SELECT min(f.chunk_id) OVER (PARTITION BY b.bin), f.chunk_id, count(*) OVER (PARTITION BY b.bin) FROM first_ f JOIN fit b ON b.item = f.grp)"""
+
+
 NATURAL = r"""array_to_string(list_transform(regexp_extract_all(lower(url), '\d+|\D+'), lambda r:
   CASE WHEN regexp_matches(r, '^\d') THEN '0' || lpad(length(coalesce(nullif(ltrim(r, '0'), ''), '0'))::VARCHAR, 4, '0') || coalesce(nullif(ltrim(r, '0'), ''), '0') ELSE r END), '')"""
 
@@ -164,5 +226,28 @@ SELECT p.chunk_id AS probe_id, arg_min(i.other, p.pos) AS similar_id FROM probe
     "L3_stream_fingerprints": f"WITH {CHUNKS} SELECT fp, size FROM chunks GROUP BY ALL",
 }
 
+SQL |= {
+    f"C6_C9_representative_{c}": f"""WITH RECURSIVE {UNIQUE}, {GEAR}, {cuts()}, {representative(c)}
+SELECT r.chunk_id, s AS sub_start, e AS sub_end, sha256(array_slice(u.content, s + 1, e)) AS fp FROM reps r JOIN uniq u USING (chunk_id)"""
+    for c in ("largest", "min_hash", "largest_inner", "min_hash_inner")
+}
+SQL |= {
+    "G4_hsf_rank_bib": f"WITH RECURSIVE {rebinned()} SELECT * FROM third",
+    "G8_hsf_bib": f"""WITH RECURSIVE {rebinned()},
+rest AS (SELECT chunk_id, (row_number() OVER (ORDER BY chunk_id) - 1) // 8 AS pack FROM third WHERE members = 1)
+SELECT * FROM third WHERE members > 1 UNION ALL SELECT min(chunk_id) OVER (PARTITION BY pack), chunk_id, count(*) OVER (PARTITION BY pack) FROM rest""",
+    "flagship": f"""WITH RECURSIVE {rebinned()}
+SELECT 'first' AS stage, members AS group_size, count(DISTINCT grp) AS frequency FROM first_ GROUP BY members
+UNION ALL SELECT 'final', members, count(DISTINCT grp) FROM third GROUP BY members""",
+}
+
+WHOLE = "whole AS (SELECT file_id AS chunk_id, octet_length(b) AS size, b AS content FROM files)"
+SQL |= {
+    "C3_cut_points": f"""WITH RECURSIVE {CHUNKS}, {GEAR}, {WHOLE}, {cuts(CHUNK, 'whole')}
+SELECT f.file_id, coalesce(string_agg(p.e::VARCHAR, ',' ORDER BY p.e), '') AS ends FROM files f LEFT JOIN pieces p ON p.chunk_id = f.file_id GROUP BY f.file_id""",
+    "C5_cdc_chunks": f"""WITH RECURSIVE {CHUNKS}, {GEAR}, {WHOLE}, {cuts(CHUNK, 'whole')}
+SELECT p.chunk_id AS file_id, p.seq, e - s AS size, sha256(array_slice(w.content, s + 1, e)) AS fp FROM pieces p JOIN whole w USING (chunk_id)""",
+}
+
 RESTORED = "SELECT doc_id AS file_id, octet_length(encode(text)) AS length, sha256(encode(text)) AS sha256 FROM documents"
 SQL |= {f"T4_restore_{m}": RESTORED for m in ("lz4", "sf", "hsf", "hsf_rank", "hsf_rank_bib", "sf_bib", "hsf_bib", "sf_nodedup", "fp_sf", "fp_affinity", "fp_only")}

@@ -221,6 +221,15 @@ def test_empty_input(spark):
         assert got.summary().first().logical_size == 0
 
 
+def test_clean(spark):
+    from siltstone.session import clean, written
+
+    kept = written(spark.range(3).toDF("x"), "gone")
+    assert kept.count() == 3 and clean(spark) >= 1 and clean(spark) == 0
+    with pytest.raises(Exception):
+        kept.count()
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(SQL) <= set(QUERIES) <= set(__spark_entry__.queries())
