@@ -268,16 +268,15 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id
     mean = total / count if count else 0.0
     terms = asked.mapInArrow(_exploded, "id long, term long, tf long")
     idf = F.log1p((F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(words, "term").select("id", "term", (F.col("tf") * idf).alias("weight"))
-    listed = written(weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("terms"), F.count(F.lit(1)).alias("n")), "weighted")
-    blocks = max(1, -(-(listed.agg(F.sum("n")).first()[0] or 0) // block_terms))
+    weighted = written(terms.join(words, "term").select("id", "term", (F.col("tf") * idf).alias("weight")), "weighted")
+    blocks = max(1, -(-weighted.count() // block_terms))
     # a sixteenth of the documents is searched first: the k-th best score there is a threshold for all others
     ahead = F.pmod(F.xxhash64("id"), F.lit(16)) == 0
     named = docs.where("id is not null")
     shards = max(1, -(-total // (16 * PIECE_TERMS)))
     parts = []
     for b in range(blocks):
-        value = _block(listed.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)) == b))
+        value = _block(weighted.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)) == b))
         early = written(_best_of_shards(_found(named.where(ahead).repartition(max(4, shards)), value, k, mean), k), "early")
         reached = {r["query_id"]: r["least"] for r in early.where(F.size("found") >= k).select("query_id", F.element_at("found", k)["score"].alias("least")).collect()}
         least = np.array([reached.get(q, 0.0) for q in value[0].tolist()])
@@ -290,14 +289,14 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id
     return ranked.select("query_id", (F.col("place") + 1).alias("rank"), F.col("hit.id").alias("doc_id"), F.round("hit.score", 6).alias("score"))
 
 
-def _block(listed: DataFrame) -> tuple:
+def _block(weighted: DataFrame) -> tuple:
     """Queries as arrays: ids, terms and weights, where each one's terms start, thresholds.  The caller keeps
     their number of terms bounded."""
-    got = listed.select("id", F.col("terms.term").alias("t"), F.col("terms.weight").alias("w")).toPandas().sort_values("id")
-    size = np.array([len(x) for x in got["t"]], np.int64)
-    flat = [np.concatenate([np.asarray(x) for x in got[c]]) if len(got) else np.zeros(0) for c in ("t", "w")]
-    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    return got["id"].to_numpy(np.int64), flat[0].astype(np.int64).view(np.uint64), flat[1].astype(np.float64), first, np.zeros(len(got))
+    table = weighted.toArrow()
+    ids, terms, weights = (table.column(c).to_numpy() for c in ("id", "term", "weight"))
+    order = np.lexsort((terms, ids))
+    queries, first = np.unique(ids[order], return_index=True)
+    return queries, terms[order].view(np.uint64), weights[order], np.concatenate([first, [len(ids)]]).astype(np.int64), np.zeros(len(queries))
 
 
 def _found(docs: DataFrame, value: tuple, k: int, mean: float) -> DataFrame:
