@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.arrow import lz4
-from siltstone.operators.ids import dense_id, ranged
+from siltstone.operators.ids import ranged
 from siltstone.session import prepare, written
 
 CONTAINER_BYTES = 4 << 20
@@ -51,11 +51,18 @@ def running_sum(rows: DataFrame, order: list, value: str, name: str) -> DataFram
 
 
 def laid_out(compressed: DataFrame) -> DataFrame:
-    """Groups numbered by their smallest chunk, with their offset in the compressed stream."""
+    """Groups numbered by their smallest chunk, with their offset in the compressed stream.  Numbers and
+    offsets come from the same ranges: their rows and bytes are summed in one small table."""
     compressed = written(compressed, "compressed")  # compression runs once, not again for the sampling of ranges
-    slim = dense_id(compressed.select("grp", "comp_size"), ["grp"], "group_id")
-    placed = running_sum(slim, ["group_id"], "comp_size", "comp_offset")
-    return compressed.join(placed.select("grp", "group_id", "comp_offset"), "grp").select("group_id", "chunk_ids", "orig_size", "comp_size", "comp_offset", "codec", "payload")
+    parts = ranged(compressed.select("grp", "comp_size"), ["grp"])
+    sums = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum("comp_size").alias("s"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("n", "s")))
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("comp_size").over(within), F.lit(0))
+    placed = parts.withColumn("_own", own).join(F.broadcast(base), "_part")
+    placed = placed.select("grp", (F.col("_n") + F.col("_at")).alias("group_id"), (F.col("_s") + F.col("_own")).alias("comp_offset"))
+    return compressed.join(placed, "grp").select("group_id", "chunk_ids", "orig_size", "comp_size", "comp_offset", "codec", "payload")
 
 
 def chunk_offsets(groups: DataFrame, chunks: DataFrame) -> DataFrame:

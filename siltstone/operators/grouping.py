@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.ids import places
@@ -17,8 +17,13 @@ def pack(rows: DataFrame, keys: list[str], order: list, cap: int) -> DataFrame:
     """(grp, chunk_id, size_of_group): each key's rows in order, cut after every ``cap``.  A key may hold any share of the
     rows: places come from a range partitioning, which cuts it too."""
     placed = places(rows, keys, order).withColumn("pack", F.floor(F.col("place") / cap))
-    packs = placed.groupBy(*keys, "pack").agg(F.min("chunk_id").alias("grp"), F.count(F.lit(1)).alias("members"))
-    return placed.join(packs, [*keys, "pack"]).select("grp", "chunk_id", "members")
+    return _named(placed, [*keys, "pack"])
+
+
+def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(grp, chunk_id, members) of groups by ``keys``; a group has at most cap rows, so this window's partitions are tiny."""
+    same = Window.partitionBy(*keys)
+    return rows.select(F.min("chunk_id").over(same).alias("grp"), "chunk_id", F.count(F.lit(1)).over(same).alias("members"))
 
 
 def by_first_key(features: DataFrame, cap: int) -> DataFrame:
@@ -148,6 +153,4 @@ def fit_bins(items: DataFrame, cap: int, fit: str = "next", limit: int = 1000) -
 
 def regroup(groups: DataFrame, bins: DataFrame) -> DataFrame:
     """Groups put together as ``bins`` (item: a group's name) says."""
-    moved = groups.join(bins.withColumnRenamed("item", "grp"), "grp").select("bin", "chunk_id")
-    names = moved.groupBy("bin").agg(F.min("chunk_id").alias("grp"), F.count(F.lit(1)).alias("members"))
-    return moved.join(names, "bin").select("grp", "chunk_id", "members")
+    return _named(groups.join(bins.withColumnRenamed("item", "grp"), "grp"), ["bin"])

@@ -37,7 +37,7 @@ class Corpus:
 
     @cached_property
     def firsts(self) -> DataFrame:
-        return written(dedup.first_occurrences(self.fingerprints), "firsts")
+        return dedup.first_occurrences(self.fingerprints)  # reads ranges that are written already
 
     @cached_property
     def unique(self) -> DataFrame:
@@ -46,7 +46,7 @@ class Corpus:
     @cached_property
     def all(self) -> DataFrame:
         """Every chunk with an id of its own (for methods without deduplication)."""
-        return written(dedup.numbered(self.chunks), "numbered")
+        return dedup.numbered(self.chunks)  # likewise
 
     @cached_property
     def recipes(self) -> DataFrame:
@@ -291,5 +291,5 @@ def run(files: DataFrame, method: str, config: Config = Config()) -> Run:
     began = time.monotonic()
     corpus = Corpus(files, config)
     grouped = METHODS[method](corpus)
-    compressed = written(compress.laid_out(compress.compress_groups(grouped.groups, grouped.chunks)), "stream")
+    compressed = compress.laid_out(compress.compress_groups(grouped.groups, grouped.chunks))
     return Run(corpus, grouped, compressed, time.monotonic() - began)
