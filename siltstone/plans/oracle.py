@@ -241,6 +241,54 @@ SELECT 'first' AS stage, members AS group_size, count(DISTINCT grp) AS frequency
 UNION ALL SELECT 'final', members, count(DISTINCT grp) FROM third GROUP BY members""",
 }
 
+def windows(width: int, base: int, modulus: int, kind: str) -> str:
+    """``poly``: chunk_id, i, size, fp of every window of ``width`` bytes of ``uniq``, by doubling: the fingerprint of 2k
+    bytes is that of the first k times base**k plus that of the next k."""
+
+    def joined(a: str, b: str, k: int, m: int) -> str:
+        return f"(({a} * {pow(base, m, modulus)}::{kind} + lead({b}, {k}) OVER (PARTITION BY chunk_id ORDER BY i)) % {modulus}::{kind})"
+
+    steps = [f"""poly_bytes AS (SELECT chunk_id, i, size, ('0x' || substr(x, (2 * i + 1)::INT, 2))::INT::{kind} AS p1
+          FROM (SELECT chunk_id, hex(content) AS x, size FROM uniq), unnest(range(size)) AS t(i))"""]
+    k, last = 1, "poly_bytes"
+    while 2 * k <= width:
+        steps.append(f"poly{2 * k} AS (SELECT *, {joined(f'p{k}', f'p{k}', k, k)} AS p{2 * k} FROM {last})")
+        k, last = 2 * k, f"poly{2 * k}"
+    rest = width - k
+    fp = f"p{k}" if not rest else joined(f"p{k}", f"p{rest}", k, rest)
+    steps.append(f"poly AS (SELECT chunk_id, i, size, {fp} AS fp FROM {last})")
+    return ",\n".join(steps)
+
+
+def _strided(sort: bool) -> str:
+    """The keys of ``wide`` (chunk_id, f0, ...): every third feature; with ``sort``, each three in order first."""
+    three = [f"list_sort([f{3 * j}, f{3 * j + 1}, f{3 * j + 2}])" if sort else f"[f{3 * j}, f{3 * j + 1}, f{3 * j + 2}]" for j in range(4)]
+    key = ", ".join("md5(" + " || ',' || ".join(f"{t}[{i + 1}]::VARCHAR" for t in three) + ")" for i in range(3))
+    return f"SELECT chunk_id, array_to_string([{key}], ',') AS keys FROM wide"
+
+
+def ntransform() -> str:
+    mul = ", ".join(f"(({NUMBER.format(repr(f'a{j}'))}) | 1::UHUGEINT) AS a{j}, {NUMBER.format(repr(f'b{j}'))} AS b{j}" for j in range(FEATURES))
+    value = lambda j: f"((fp * a{j} % 4294967296::UHUGEINT + b{j}) % 4294967296::UHUGEINT)"
+    best = ", ".join(f"arg_max(fp, {value(j)}) AS f{j}, max({value(j)}) AS m{j}" for j in range(FEATURES))
+    low = ", ".join(f"CASE WHEN coalesce(m{j}, 0::UHUGEINT) > 0 THEN f{j} % 4294967296::UHUGEINT ELSE 0::UHUGEINT END AS f{j}" for j in range(FEATURES))
+    return f"""WITH {UNIQUE}, {windows(64, 257, 1 << 64, 'UHUGEINT')},
+linear AS (SELECT {mul}),
+best AS (SELECT chunk_id, {best} FROM poly, linear WHERE i + 64 < size GROUP BY chunk_id),
+wide AS (SELECT u.chunk_id, {low} FROM uniq u LEFT JOIN best USING (chunk_id)) {_strided(False)}"""
+
+
+def finesse() -> str:
+    inside = lambda b: f"i >= size * {b} // 12 AND i + 48 <= size * {b + 1} // 12 AND size // 12 >= 48"
+    best = ", ".join(f"coalesce(max(fp) FILTER ({inside(b)}), 0) AS f{b}" for b in range(FEATURES))
+    return f"WITH {UNIQUE}, {windows(48, 37, 1_000_000_007, 'BIGINT')},\nwide AS (SELECT chunk_id, {best} FROM poly GROUP BY chunk_id) {_strided(True)}"
+
+
+SQL["G13_most_correlated"] = f"""WITH {features()}, flat AS (SELECT chunk_id, {_signed('feature')}::BIGINT AS f FROM ({_FLAT}))
+SELECT f1, f2, chunks FROM (SELECT x.f AS f1, y.f AS f2, count(*) AS chunks FROM flat x JOIN flat y ON x.chunk_id = y.chunk_id AND x.f <> y.f GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY f1 ORDER BY chunks DESC, f2) = 1"""
+SQL |= {"F9_ntransform": ntransform(), "F10_finesse": finesse()}
+
 WHOLE = "whole AS (SELECT file_id AS chunk_id, octet_length(b) AS size, b AS content FROM files)"
 SQL |= {
     "C3_cut_points": f"""WITH RECURSIVE {CHUNKS}, {GEAR}, {WHOLE}, {cuts(CHUNK, 'whole')}
