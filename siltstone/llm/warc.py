@@ -257,6 +257,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def merge_index(entries: DataFrame) -> DataFrame:
     """Capture histories: the entries of all runs in the order of URL key, timestamp and page id."""
+    bounded_batches(entries.sparkSession)
     n = max(8, -(-entries.count() // RANGE_ROWS))
     ranged = entries.repartitionByRange(n, "key", "ts", "page_id", "run", "offset").sortWithinPartitions("run", "key", "ts", "page_id", "offset")
     return ranged.mapInArrow(_merge, ENTRY)
@@ -280,6 +281,7 @@ def _read(batches: Iterator[pa.RecordBatch], base: str, payload: bool) -> Iterat
 
 def read_archive(index: DataFrame, base: str, payload: bool = False) -> DataFrame:
     """The records that ``index`` lists, parsed and checked, in its order."""
+    bounded_batches(index.sparkSession)
     return index.mapInArrow(lambda b: _read(b, base, payload), "page_id long, url string, ts string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
