@@ -258,29 +258,33 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, merge_bytes: int) -
     def out(id_, start, size):
         return _batch(id=id_, start=start.astype(np.int32), size=size.astype(np.int32))
 
-    def work(tables: list[pa.Table]) -> pa.RecordBatch | None:
+    def collapsed(tables: list[pa.Table]) -> tuple[pa.Table, tuple[np.ndarray, ...]]:
+        """Of equal segments of a key the first one (rows come by key and place), and the ranges of the others,
+        which are repeated as a whole."""
         table = pa.concat_tables(tables)
         key = table.column("key").to_numpy()
         segment = table.column("segment").combine_chunks()
         if isinstance(segment, pa.ChunkedArray):
             segment = pa.concat_arrays(segment.chunks)
-        text = segment.dictionary_encode().indices.to_numpy()
         ids, starts, sizes = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "start", "size"))
-        # rows come by key and place: of equal segments the first one stays, the others are repeated as a whole
-        order, new, later = _classes(key, text, ids, starts)
+        order, new, later = _classes(key, segment.dictionary_encode().indices.to_numpy(), ids, starts)
         done = order[later]
-        keep = np.sort(order[new])
-        _, inverse, count = np.unique(key[keep], return_inverse=True, return_counts=True)
-        keep = keep[count[inverse] > 1]  # a key of its own decides nothing
-        found = [(ids[done], starts[done], sizes[done])]
-        if len(keep):
-            data = np.frombuffer(b"".join(segment.take(pa.array(keep)).to_pylist()), np.uint8)
-            found.append(repeated(ids[keep], starts[keep], sizes[keep], data, length))
+        return table.take(pa.array(np.sort(order[new]))), (ids[done], starts[done], sizes[done])
+
+    def work(tables: list[pa.Table]) -> pa.RecordBatch | None:
+        table, done = collapsed(tables)
+        found = [done]
+        _, inverse, count = np.unique(table.column("key").to_numpy(), return_inverse=True, return_counts=True)
+        table = table.take(pa.array(np.flatnonzero(count[inverse] > 1)))  # a key of its own decides nothing
+        if len(table):
+            ids, starts, sizes = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "start", "size"))
+            data = np.frombuffer(b"".join(table.column("segment").to_pylist()), np.uint8)
+            found.append(repeated(ids, starts, sizes, data, length))
         got = merged_ranges(*(np.concatenate(x) for x in zip(*found)))
         return out(*got) if len(got[0]) else None
 
     held: list[pa.Table] = []  # whole keys, but for the last one
-    total, last = 0, None
+    total, last, most = 0, None, 16 * merge_bytes
     for batch in batches:
         table = pa.Table.from_batches([batch])
         done = pc.is_null(table.column("segment"))
@@ -298,10 +302,16 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, merge_bytes: int) -
                 got = work(held)
                 if got is not None:
                     yield got
-                held, total = [], 0
+                held, total, most = [], 0, 16 * merge_bytes
             held.append(table.slice(a, b - a))
             total += int(size[b] - size[a])
             last = key[a]
+            if total >= most:  # a key with very many segments: only different ones are kept
+                kept, again = collapsed(held)
+                if len(again[0]):
+                    yield out(*merged_ranges(*again))
+                held, total = [kept], int(pc.sum(kept.column("size")).as_py())
+                most = max(most, 2 * total)
     if held:
         got = work(held)
         if got is not None:

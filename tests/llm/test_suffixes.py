@@ -54,7 +54,7 @@ def test_whole_table(spark):
     assert sum(v[1] for v in want.values()) > 10000
 
 
-@pytest.mark.parametrize("merge_bytes", [300, 1 << 20])
+@pytest.mark.parametrize("merge_bytes", [10, 300, 1 << 20])
 def test_many_small_repeats(spark, merge_bytes):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
