@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import written
+
 
 def first_key_index(features: DataFrame) -> DataFrame:
     """Bucket sizes by the first super-feature."""
@@ -75,3 +79,42 @@ def most_correlated(features: DataFrame) -> DataFrame:
 def without(features: DataFrame, gone: DataFrame) -> DataFrame:
     """The index without some chunks."""
     return features.join(gone, "chunk_id", "left_anti")
+
+
+def _smallest(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` smallest chunk ids of each key; ranges are limited before they are dealt out, however many rows a key has."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("chunk_id"))).where(F.col("_n") <= n).drop("_n")
+
+
+def top_pairs(features: DataFrame, n: int = 20) -> DataFrame:
+    """(i, j, shared): the ``n`` pairs of chunks with the most features in common, then by i and j.
+
+    Pairs that share at least s features meet in the bucket of one of their subsets of s features.  From s = 12 down,
+    a bucket's first ``n`` pairs by (i, j) are enough, since any pair before another one in a bucket shares as many;
+    they lie within its n + 1 smallest ids.  The pairs found for a larger s are complete while they are fewer than
+    ``n``, so whatever a bucket adds shares s exactly.  Buckets are thus never paired out."""
+    sets = features.select("chunk_id", F.array_sort(F.array_distinct("features")).alias("f"))
+    most = sets.agg(F.max(F.size("f"))).first()[0] or 0
+    rows, pruned = sets, False
+    found: dict[tuple[int, int], int] = {}
+    for s in range(most, 0, -1):
+        if s < most and not pruned:
+            # equal sets count as one, features of one chunk are in no pair
+            rows = written(_smallest(sets, "f", n + 1), "sets")
+            flat = rows.select("chunk_id", F.explode("f").alias("feature"))
+            common = flat.groupBy("feature").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("feature")
+            rows = written(flat.join(common, "feature").groupBy("chunk_id").agg(F.array_sort(F.collect_list("feature")).alias("f")), "sets")
+            pruned = True
+        subsets = F.array(*(F.array(*map(F.lit, c)) for c in combinations(range(most), s)))
+        of_row = F.transform(F.filter(subsets, lambda c: F.element_at(c, -1) < F.size("f")), lambda c: F.transform(c, lambda k: F.get("f", k)))
+        keyed = rows.where(F.size("f") >= s).select("chunk_id", F.explode(of_row).alias("key"))
+        ids = _smallest(keyed, "key", n + 1).groupBy("key").agg(F.array_sort(F.collect_list("chunk_id")).alias("ids")).where("size(ids) > 1")
+        each = F.transform("ids", lambda a, k: F.transform(F.slice("ids", k + 2, n), lambda b: F.struct(a.alias("i"), b.alias("j"))))
+        pairs = ids.select(F.explode(F.slice(F.flatten(each), 1, n)).alias("p")).select("p.*").distinct()
+        for r in pairs.orderBy("i", "j").limit(n + len(found)).collect():
+            if len(found) < n:
+                found.setdefault((r.i, r.j), s)
+        if len(found) >= n:
+            break
+    out = sorted(((i, j, s) for (i, j), s in found.items()), key=lambda x: (-x[2], x[0], x[1]))
+    return features.sparkSession.createDataFrame(out, "i long, j long, shared long")

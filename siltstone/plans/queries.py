@@ -405,11 +405,8 @@ def _(spark, sf_dir):
 
 @on_corpus("O8_top_pairs")
 def _(c):
-    """The 20 pairs of chunks with the most features in common, among the first ``greedy_limit`` chunks (the
-    bound of the greedy method, whose best pair this stands for)."""
-    f = similar.feature_index(c.features.where(F.col("chunk_id") < CONFIG.greedy_limit))
-    pairs = f.withColumnRenamed("chunk_id", "i").join(f.withColumnRenamed("chunk_id", "j"), "feature").where("i < j")
-    return pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared")).orderBy(F.desc("shared"), "i", "j").limit(20)
+    """The 20 pairs of chunks with the most features in common."""
+    return similar.top_pairs(c.features)
 
 
 @on_corpus("W_places")

@@ -234,3 +234,28 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(SQL) <= set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("seed,features,chunks", [(0, 6, 30), (1, 40, 150), (2, 400, 150), (3, 2, 200), (4, 3, 1), (5, 100000, 40)])
+def test_top_pairs_of_all_chunks(spark, seed, features, chunks):
+    """Chunks after the first 96, equal sets, hot features and sparse tables, against all pairs."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(seed)
+    pool = [rng.sample(range(features), min(4, features)) for _ in range(5)]
+    sets = [rng.choice(pool) if k % 3 == 0 else [rng.randrange(features) - 1 for _ in range(4)] for k in range(chunks)]
+    want = [(-n, i, j) for i, j in combinations(range(chunks), 2) if (n := len(set(sets[i]) & set(sets[j])))]
+    df = spark.createDataFrame([(k, f) for k, f in enumerate(sets)], "chunk_id long, features array<long>").repartition(3)
+    assert [(-r.shared, r.i, r.j) for r in similar.top_pairs(df).collect()] == sorted(want)[:20]
+    assert similar.top_pairs(df.limit(0)).count() == 0
+
+
+def test_top_pairs_query_sees_chunks_after_the_first_96(spark):
+    from siltstone.plans.queries import corpus
+
+    sf = "/root/testdata/sf0.001"
+    sets = sorted((r.chunk_id, frozenset(r.features)) for r in corpus(spark, sf).features.select("chunk_id", "features").collect())
+    want = sorted((-n, i, j) for k, (i, a) in enumerate(sets) for j, b in sets[k + 1 :] if (n := len(a & b)))[:20]
+    assert [(-r.shared, r.i, r.j) for r in QUERIES["O8_top_pairs"](spark, sf).collect()] == want
+    assert max(j for _, _, j in want) >= 96
