@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -207,21 +208,31 @@ def greedy_merge(contents: list[bytes], cap: int) -> list[list[int]]:
     groups: dict[int, list[int]] = {i: [i] for i in range(len(contents))}
     joined = dict(enumerate(contents))
     cost = {i: packed(d) for i, d in joined.items()}
-    saving = {(i, j): cost[i] + cost[j] - packed(joined[i] + joined[j]) for i, j in combinations(groups, 2)}
-    while True:
-        fits = [(-s, i, j) for (i, j), s in saving.items() if s > 0 and len(groups[i]) + len(groups[j]) <= cap]
-        if not fits:
-            return list(groups.values())
-        _, i, j = min(fits)
+    version = dict.fromkeys(groups, 0)
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def pair(a: int, b: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """The saving of two groups as they are now, if they fit and save any."""
+        if len(groups[a]) + len(groups[b]) <= cap and (s := cost[a] + cost[b] - packed(joined[a] + joined[b])) > 0:
+            yield -s, a, b, version[a], version[b]
+
+    for a, b in combinations(groups, 2):
+        heap.extend(pair(a, b))
+    heapify(heap)
+    while heap:
+        _, i, j, vi, vj = heappop(heap)
+        if version.get(i) != vi or version.get(j) != vj:
+            continue  # one of them has changed since
         groups[i] = sorted(groups[i] + groups.pop(j))
         joined[i] = b"".join(contents[k] for k in groups[i])
-        del joined[j]
+        del joined[j], version[j]
         cost[i] = packed(joined[i])
-        saving = {p: s for p, s in saving.items() if j not in p and i not in p}
+        version[i] += 1
         for k in groups:
-            if k != i and len(groups[i]) + len(groups[k]) <= cap:
-                a, b = min(i, k), max(i, k)
-                saving[a, b] = cost[i] + cost[k] - packed(joined[a] + joined[b])
+            if k != i:
+                for entry in pair(min(i, k), max(i, k)):
+                    heappush(heap, entry)
+    return list(groups.values())
 
 
 def greedy(c: Corpus) -> Grouped:

@@ -21,7 +21,7 @@ from siltstone.streaming.ingest import Index, distinct_fingerprints, ingest
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Documents are short, hence smaller chunks, sub-chunks and a denser sampling than for files.
-CONFIG = Config(chunk_size=1024, sub_avg=256, sample_bits=2, greedy_limit=96)
+CONFIG = Config(chunk_size=1024, sub_avg=256, sample_bits=2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -259,3 +259,8 @@ def test_top_pairs_query_sees_chunks_after_the_first_96(spark):
     want = sorted((-n, i, j) for k, (i, a) in enumerate(sets) for j, b in sets[k + 1 :] if (n := len(a & b)))[:20]
     assert [(-r.shared, r.i, r.j) for r in QUERIES["O8_top_pairs"](spark, sf).collect()] == want
     assert max(j for _, _, j in want) >= 96
+
+
+def test_greedy_query_takes_1024_chunks(spark):
+    ids = sorted(r.chunk_id for r in QUERIES["G12_greedy"](spark, "/root/testdata/sf0.01").collect())
+    assert ids == list(range(1024))
