@@ -36,8 +36,11 @@ HINTS = ("passw", "secret", "token", "api")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: What a compressed layer may grow to, so that a small stretch cannot exhaust a worker's memory.
-INFLATED = 16 << 20
+#: Compressed bytes, with a header, as percent-encoded text or as a bytes literal; other characters stand for themselves.
+PACKED_PERCENT = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)%[0-9A-Fa-f]{2})(?:%[0-9A-Fa-f]{2}|[!-$&-~])*")
+PACKED_ESCAPE = re.compile(r"""(?:\\x1[fF]\\x8[bB]|(?:x|\\x78)(?:\\x[0-9A-Fa-f]{2}|\^))(?:\\x[0-9A-Fa-f]{2}|\\[ntr\\'"]|[ -\[\]-~])*""")
+BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\(.)|(.)", re.S)
+CONTROL = {"n": "\n", "t": "\t", "r": "\r"}
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -64,6 +67,18 @@ class Layer:
         return self.start[a], self.end[b - 1]
 
 
+class Same:
+    """A map that gives every character the same place."""
+
+    __slots__ = ("at",)
+
+    def __init__(self, at: int):
+        self.at = at
+
+    def __getitem__(self, _: int) -> int:
+        return self.at
+
+
 def _readable(raw: bytes) -> str | None:
     try:
         text = raw.decode("utf-8")
@@ -72,15 +87,48 @@ def _readable(raw: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """Data of gzip or zlib form, decompressed."""
-    if not (raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78"):
-        return None
-    try:
-        out = zlib.decompressobj(wbits=47).decompress(raw, INFLATED)
-    except zlib.error:
-        return None
-    return out or None
+def _headed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+def _inflated(raw: bytes) -> tuple[bytes, bytes]:
+    """Data of gzip or zlib form, all members decompressed (what came before an error counts), and the rest."""
+    out = bytearray()
+    while _headed(raw):
+        member, data = zlib.decompressobj(wbits=47), raw
+        try:
+            while data and not member.eof:
+                out += member.decompress(data, 1 << 20)
+                data = member.unconsumed_tail
+            while not member.eof and (more := member.decompress(b"", 1 << 20)):
+                out += more
+        except zlib.error:
+            return bytes(out), b""
+        raw = member.unused_data
+        if _headed(raw.lstrip(b"\0")):
+            raw = raw.lstrip(b"\0")
+    return bytes(out), raw
+
+
+def _texts(raw: bytes) -> tuple[list[str], int]:
+    """The texts in compressed bytes, inflated again while there is a header, and how many bytes they take."""
+    texts, used = [], 0
+    seen: set[bytes] = set()
+    while _headed(raw) and (key := hashlib.blake2b(raw, digest_size=16).digest()) not in seen:
+        seen.add(key)
+        more, rest = _inflated(raw)
+        used = used or len(raw) - len(rest)
+        # the input may have been cut within a character
+        tail = next((k for k in range(1, 4) if more[-k:][:1] >= b"\xc0"), 0)
+        text = _readable(more)
+        if text is None and tail:
+            text = _readable(more[:-tail])
+        if text is not None:
+            texts.append(text)
+        if len(seen) > 1 and rest and (text := _readable(rest)) is not None:
+            texts.append(text)
+        raw = more
+    return texts, used
 
 
 def _replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], list[int]] | None:
@@ -131,11 +179,24 @@ def _unpacked(run: str) -> list[tuple[str, bool]]:
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return []
-    if (more := _inflated(raw)) is not None:
-        text = _readable(more)
-        return [] if text is None else [(text, True)]
-    text = _readable(raw)
-    return [] if text is None else [(text, False)]
+    texts = [(text, True) for text in _texts(raw)[0]]
+    if (text := _readable(raw)) is not None:
+        texts.append((text, False))
+    return texts
+
+
+def _packed(layer: Layer) -> Iterator[Layer]:
+    """The layers compressed in percent-encoded stretches or bytes literals."""
+    for mark, pattern in (("%", PACKED_PERCENT), ("\\", PACKED_ESCAPE)):
+        for m in pattern.finditer(layer.text) if mark in layer.text else ():
+            raw, ends = bytearray(), []
+            for b in BYTE.finditer(m.group()):
+                raw.append(int(b[1] or b[2], 16) if b[1] or b[2] else ord(CONTROL.get(b[3], b[3]) if b[3] else b[4]))
+                ends.append(b.end())
+            texts, used = _texts(bytes(raw))
+            for new in texts:
+                a, b = layer.span(m.start(), m.start() + ends[used - 1])
+                yield Layer(new, Same(a), Same(b))
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -145,11 +206,12 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
         if mark in text and (got := _replaced(text, pattern, decode)):
             new, start, end = got
             yield Layer(new, [layer.start[i] for i in start], [layer.end[i - 1] for i in end])
+    yield from _packed(layer)
     for m in BASE64.finditer(text):
         for new, packed in _unpacked(m.group()):
             if packed:
                 a, b = layer.span(m.start(), m.end())
-                yield Layer(new, [a] * len(new), [b] * len(new))
+                yield Layer(new, Same(a), Same(b))
             else:
                 start, end, at = [], [], 0
                 for c in new:

@@ -80,3 +80,22 @@ def test_edges(spark):
     assert got.columns == ["doc_id", "text", "base_spans", "all_spans", "n_layers"]
     assert sorted((str(r.doc_id), len(r.all_spans)) for r in got.collect()) == [("1", 0), ("2", 0), ("3", 1), ("3", 1), ("None", 1)]
     assert find_secrets(df.limit(0)).count() == 0
+
+
+def test_compressed_layers_are_whole():
+    secret = b" token=abcdefghijklmnop "
+
+    def encoded(raw):
+        return f"data {base64.b64encode(raw).decode()} end"
+
+    late = encoded(zlib.compress(b" a" * (9 << 20) + secret))
+    members = encoded(gzip.compress(b"first ") + gzip.compress(secret))
+    nested = encoded(gzip.compress(zlib.compress(gzip.compress(secret))))
+    for text in (late, members, nested):
+        assert f"assign:5:{len(text) - 4}" in spans(text)
+    for pack in (gzip.compress, zlib.compress):
+        url = urllib.parse.quote(pack(secret))
+        assert f"assign:2:{2 + len(url)}" in spans(f"a {url} end")
+        assert "assign:" in spans(f"a {pack(secret)!r} end")
+        assert "assign:" in spans("".join(f"\\x{b:02x}" for b in pack(secret)))
+    assert spans(f"see {base64.b64encode(b'x = 1; token=abcdefghijklmnop').decode()}").startswith("assign:")
