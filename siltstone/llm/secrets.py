@@ -18,7 +18,7 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +36,7 @@ HINTS = ("passw", "secret", "token", "api")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
 #: Compressed bytes, with a header, as percent-encoded text or as a bytes literal; other characters stand for themselves.
 PACKED_PERCENT = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)%[0-9A-Fa-f]{2})(?:%[0-9A-Fa-f]{2}|[!-$&-~])*")
 PACKED_ESCAPE = re.compile(r"""(?:\\x1[fF]\\x8[bB]|(?:x|\\x78)(?:\\x[0-9A-Fa-f]{2}|\^))(?:\\x[0-9A-Fa-f]{2}|\\[ntr\\'"]|[ -\[\]-~])*""")
@@ -84,7 +85,7 @@ def _readable(raw: bytes) -> str | None:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    return text or None
 
 
 def _headed(raw: bytes) -> bool:
@@ -199,6 +200,27 @@ def _packed(layer: Layer) -> Iterator[Layer]:
                 yield Layer(new, Same(a), Same(b))
 
 
+def _stretches(text: str) -> Iterator[tuple[str, Sequence[int]]]:
+    """Base64 stretches and the place of each character: every line on its own, and equally long lines together, with
+    and without a shorter last one (which may be a word)."""
+    chained = 0
+    for m in BASE64.finditer(text):
+        yield m.group(), range(m.start(), m.end())
+        if m.start() < chained:
+            continue
+        lines, last = [m.span()], None
+        while (end := lines[-1][1]) < len(text) and text[end - 1] != "=" and (more := NEXT_LINE.match(text, end)):
+            if (n := len(more[1])) > len(m.group()):
+                break
+            if n < len(m.group()):
+                last = more.span(1)
+                break
+            lines.append(more.span(1))
+        chained = lines[-1][1]
+        for parts in ([lines] if len(lines) > 1 else []) + ([[*lines, last]] if last else []):
+            yield "".join(text[a:b] for a, b in parts), [i for a, b in parts for i in range(a, b)]
+
+
 def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers encoded in a layer, with spans in the original text."""
     text = layer.text
@@ -207,18 +229,18 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
             new, start, end = got
             yield Layer(new, [layer.start[i] for i in start], [layer.end[i - 1] for i in end])
     yield from _packed(layer)
-    for m in BASE64.finditer(text):
-        for new, packed in _unpacked(m.group()):
+    for run, at in _stretches(text):
+        for new, packed in _unpacked(run):
             if packed:
-                a, b = layer.span(m.start(), m.end())
+                a, b = layer.span(at[0], at[-1] + 1)
                 yield Layer(new, Same(a), Same(b))
             else:
-                start, end, at = [], [], 0
+                start, end, k = [], [], 0
                 for c in new:
                     n = len(c.encode())
-                    start.append(layer.start[m.start() + at * 4 // 3])
-                    end.append(layer.end[min(m.end(), m.start() + -(-(at + n) * 4 // 3)) - 1])
-                    at += n
+                    start.append(layer.start[at[k * 4 // 3]])
+                    end.append(layer.end[at[min(len(at), -(-(k + n) * 4 // 3)) - 1]])
+                    k += n
                 yield Layer(new, start, end)
 
 

@@ -99,3 +99,22 @@ def test_compressed_layers_are_whole():
         assert "assign:" in spans(f"a {pack(secret)!r} end")
         assert "assign:" in spans("".join(f"\\x{b:02x}" for b in pack(secret)))
     assert spans(f"see {base64.b64encode(b'x = 1; token=abcdefghijklmnop').decode()}").startswith("assign:")
+
+
+def test_layers_with_any_character_and_wrapped_lines():
+    for odd in "\u00a0\u202f\u3000\ufeff\u200b\u00ad\f\0":
+        plain = f"mot{odd}de passe token=abcdefghijklmnop fin"
+        assert "assign:" in spans(base64.b64encode(plain.encode()).decode())
+        assert "assign:" in spans(base64.b64encode(gzip.compress(plain.encode())).decode())
+        assert "assign:" in spans(urllib.parse.quote(plain, safe=""))
+    digits = "04dbebab91ab85687d33e0a1b2c3d4e5f6071829"
+    for plain in ("x" * 40 + f" token={digits} " + "y" * 60, "z" * 46 + f" token={digits}"):
+        wrapped = base64.encodebytes(plain.encode()).decode()
+        whole = base64.b64encode(plain.encode()).decode()
+        for text in (wrapped, wrapped.replace("\n", "\r\n"), wrapped.replace("\n", "\n  ")):
+            places = [k for k, c in enumerate(text) if not c.isspace()]
+            at = plain.index("token=")
+            want = f"assign:{places[at * 4 // 3]}:{places[min(len(whole), -(-len(plain[: at + 46]) * 4 // 3)) - 1] + 1}"
+            assert want in spans(text)
+    packed = base64.encodebytes(gzip.compress(bytes(range(256)).hex().encode() + f" token={digits}".encode(), 1)).decode()
+    assert f"assign:0:{len(packed.rstrip())}" in spans(packed)
