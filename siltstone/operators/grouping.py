@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import combinations
 
 import pyarrow as pa
@@ -82,6 +83,27 @@ def next_fit(sizes: list[int], cap: int) -> list[int]:
     return out
 
 
+class FirstFit:
+    """Puts each item into the first bin with room for it; bins are kept by their room, full ones are forgotten, so
+    any number of items can come."""
+
+    def __init__(self, cap: int):
+        self.open: list[list[tuple[int, int]]] = [[] for _ in range(cap + 1)]
+        self.cap, self.bins = cap, 0
+
+    def add(self, item: int, size: int) -> int:
+        """The name of the bin: its first item."""
+        room = min((r for r in range(size, self.cap) if self.open[r]), key=lambda r: self.open[r][0], default=None)
+        if room is None:
+            room, bin_ = self.cap, (self.bins, item)
+            self.bins += 1
+        else:
+            bin_ = heappop(self.open[room])
+        if room > size:
+            heappush(self.open[room - size], bin_)
+        return bin_[1]
+
+
 def first_fit(sizes: list[int], cap: int) -> list[int]:
     """The bin of each item: every bin in turn takes all later items that still fit."""
     out, bin_ = [-1] * len(sizes), 0
@@ -100,22 +122,19 @@ def first_fit(sizes: list[int], cap: int) -> list[int]:
 
 
 def _bins(batches: Iterator[pa.RecordBatch], cap: int, fit: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Packs the items of each key, which come in order.  Next fit keeps only the fill of one bin, so a key
-    may have any number of items; the other fits hold the items of a key of at most ``limit``."""
+    """Packs the items of each key, which come in order.  Next fit keeps only the fill of one bin and first
+    fit the bins with room, so a key may have any number of items; best fit holds the items of a key of at most ``limit``."""
     key = bin_ = None
-    fill = 0
+    fill, first = 0, FirstFit(cap)
     held: list[tuple[int, int]] = []
 
     def flush() -> list[tuple[int, int]]:
         sizes = [n for _, n in held]
-        if fit == "best":
-            merged = best_fit(sizes, cap)
-            bins, at = [0] * len(held), next_fit([sum(sizes[i] for i in s) for s in merged], cap)
-            for s, b in zip(merged, at):
-                for i in s:
-                    bins[i] = b
-        else:
-            bins = first_fit(sizes, cap)
+        merged = best_fit(sizes, cap)
+        bins, at = [0] * len(held), next_fit([sum(sizes[i] for i in s) for s in merged], cap)
+        for s, b in zip(merged, at):
+            for i in s:
+                bins[i] = b
         names: dict[int, int] = {}
         for (item, _), b in zip(held, bins):
             names[b] = min(item, names.get(b, item))
@@ -126,8 +145,11 @@ def _bins(batches: Iterator[pa.RecordBatch], cap: int, fit: str, limit: int) ->
         for k, item, size, items in zip(*(batch.column(c).to_pylist() for c in ("key", "item", "size", "items"))):
             if k != key:
                 out += flush() if held else []
-                held, key, bin_, fill = [], k, None, 0
-            if fit != "next" and items <= limit:
+                held, key, bin_, fill, first = [], k, None, 0, FirstFit(cap)
+            if fit == "first":
+                out.append((item, first.add(item, size)))
+                continue
+            if fit == "best" and items <= limit:
                 held.append((item, size))
                 continue
             if bin_ is None or fill + size > cap:
@@ -142,11 +164,11 @@ def _bins(batches: Iterator[pa.RecordBatch], cap: int, fit: str, limit: int) ->
 
 def fit_bins(items: DataFrame, cap: int, fit: str = "next", limit: int = 1000) -> DataFrame:
     """(item, bin) for items (key, rank, item, size), packed within each key in the order of rank and item.
-    ``fit``: "next", "best" (best-fit merges, then next fit) or "first"; keys with more than ``limit`` items
-    are always packed by next fit."""
+    ``fit``: "next", "best" (best-fit merges, then next fit; keys with more than ``limit`` items are packed by
+    next fit) or "first" (one rank only)."""
     prepare(items.sparkSession)
-    rows = items if fit == "next" else items.join(items.groupBy("key").agg(F.count(F.lit(1)).alias("items")), "key")
-    rows = rows.select("key", "rank", "item", "size", F.lit(0).cast("long").alias("items") if fit == "next" else "items")
+    rows = items if fit != "best" else items.join(items.groupBy("key").agg(F.count(F.lit(1)).alias("items")), "key")
+    rows = rows.select("key", "rank", "item", "size", F.lit(0).cast("long").alias("items") if fit != "best" else "items")
     dealt = rows.repartition("key").sortWithinPartitions("key", "rank", "item")
     return dealt.mapInArrow(lambda b: _bins(b, cap, fit, limit), "item long, bin long")
 

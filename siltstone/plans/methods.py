@@ -182,7 +182,7 @@ def fp_affinity(c: Corpus) -> Grouped:
     items = rest.groupBy("grp").agg(F.count(F.lit(1)).cast("int").alias("size")).join(a, "grp").select("key", F.lit(0).alias("rank"), F.col("grp").alias("item"), "size")
     zero = F.lit("0" * 20)
     items = written(items, "items")
-    bins = fit_bins(items.where(F.col("key") != zero), cap, "first", 1 << 20).unionByName(fit_bins(items.where(F.col("key") == zero), cap, "next"))
+    bins = fit_bins(items.where(F.col("key") != zero), cap, "first").unionByName(fit_bins(items.where(F.col("key") == zero), cap, "next"))
     second = written(full.unionByName(regroup(rest, written(bins, "bins"))), "second")
     left = second.where("members = 1").select("chunk_id")
     heads = chunks.select("chunk_id", "content").join(left, "chunk_id", "left_semi")

@@ -150,3 +150,18 @@ def test_bins_do_not_depend_on_batches():
             fill.setdefault(bin_, []).append(item)
             assert keys[item] == keys[bin_]
         assert all(sum(table["size"][i].as_py() for i in items) <= 8 and min(items) == b for b, items in fill.items())
+
+
+def test_first_fit_of_a_key_of_any_size():
+    import random
+
+    from siltstone.operators.grouping import _bins
+
+    rng = random.Random(7)
+    sizes = [rng.randrange(1, 16) for _ in range(3000)]
+    items = (1 << 20) + 1  # as a bucket of more than a million says
+    columns = {"key": ["k"] * 3000, "item": list(range(3000)), "size": sizes, "items": [items] * 3000}
+    batches = pa.Table.from_pydict(columns).to_batches(max_chunksize=700)
+    got = [b for batch in _bins(iter(batches), 16, "first", 1 << 20) for b in batch.column("bin").to_pylist()]
+    bins = first_fit(sizes, 16)
+    assert got == [bins.index(b) for b in bins]
