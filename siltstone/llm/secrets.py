@@ -1,24 +1,36 @@
 """Secret scan with a recursive decoding worklist.
 
-Each text is scanned for three kinds of secrets.  Encoded stretches (percent-encoded text, Unicode escapes,
-base64, and compressed data inside base64) are then decoded into new layers, which go on a worklist;
-each layer is scanned and searched for encoded stretches again, until no layer is new (a
-digest of every layer seen guards against cycles).  Every layer carries a map from its characters to
-the characters of the text, so all findings are spans of the text.
+Each text is scanned for three kinds of secrets.  Encoded stretches are then decoded into new layers, which go on a
+worklist; each layer is scanned and searched for encoded stretches again, until no layer is new (a digest of every
+layer seen guards against cycles).  Every layer carries a map from its characters to the characters of the text, so
+all findings are spans of the text.  Kinds of layers:
+
+* percent-encoded bytes, anywhere in a layer;
+* Unicode escapes: ``\\uXXXX`` (also as surrogate pairs), ``\\u{X}``, ``\\xXX``;
+* base64 and base64url of at least 16 characters, in one line or over equally long lines; all four alignments are
+  tried, so that a stretch may be glued to a path or a word in front of it;
+* gzip, zlib, bzip2 and xz data with any number of members, starting anywhere in the bytes of a base64 stretch, of a
+  percent-encoded one or of a bytes literal, compressed once or several times.  All that is in it has the span of its
+  compressed bytes, so it is inflated in steps and scanned in windows, cut where no finding and no encoded
+  stretch can go on; only data without any such place is held whole.
+
+Bytes that are not UTF-8 are one unknown character each; the rest of their layer is scanned.
 
 Defined results: a null text counts as empty and has no findings; a finding in a layer maps to the smallest
-span of the text that encodes it (compressed data: the whole stretch); equal spans of one kind are reported
-once; base findings are always reported as they are; repeated rows give repeated results.
+span of the text that encodes it; equal spans of one kind are reported once; base findings are always reported as they
+are; compressed data that is damaged or ends early counts up to there; repeated rows give repeated results; an empty
+table gives an empty one; columns with the results' names are replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,14 +46,22 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 HINTS = ("passw", "secret", "token", "api")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+ESCAPE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
-#: Compressed bytes, with a header, as percent-encoded text or as a bytes literal; other characters stand for themselves.
-PACKED_PERCENT = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)%[0-9A-Fa-f]{2})(?:%[0-9A-Fa-f]{2}|[!-$&-~])*")
-PACKED_ESCAPE = re.compile(r"""(?:\\x1[fF]\\x8[bB]|(?:x|\\x78)(?:\\x[0-9A-Fa-f]{2}|\^))(?:\\x[0-9A-Fa-f]{2}|\\[ntr\\'"]|[ -\[\]-~])*""")
-BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\(.)|(.)", re.S)
+#: Bytes in percent-encoding or as a bytes literal; other characters stand for themselves.
+PERCENT_BYTES = re.compile(r"[!-~]+")
+LITERAL_BYTES = re.compile(r"[ -~]+")
+BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\([ntr\\'\"])|(.)", re.S)
 CONTROL = {"n": "\n", "t": "\t", "r": "\r"}
+#: How compressed data starts: gzip, zlib, bzip2 (with and without a block), xz.
+HEADER = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0")
+#: Any finding and any encoded stretch that holds one has so many printable characters in a row.
+PROMISING = re.compile(rb"[ -~]{16}")
+#: Bytes inflated at a time.
+STEP = 1 << 20
+#: Places after which no finding and no encoded stretch of the bytes before goes on.
+CUT = re.compile(rb"[^A-Za-z0-9+/_\s-][ \t\r]*\n|\n[ \t\r]*\n|[\x00-\x08\x0e-\x1f\x7f-\xff]")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -80,56 +100,103 @@ class Same:
         return self.at
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text or None
-
-
-def _headed(raw: bytes) -> bool:
-    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0
-
-
-def _inflated(raw: bytes) -> tuple[bytes, bytes]:
-    """Data of gzip or zlib form, all members decompressed (what came before an error counts), and the rest."""
-    out = bytearray()
-    while _headed(raw):
-        member, data = zlib.decompressobj(wbits=47), raw
+def _decoded(raw: bytes) -> tuple[str, Sequence[int]]:
+    """UTF-8 text, and the place of the first byte of each character (and the end); other bytes are unknown characters."""
+    if raw.isascii():
+        return raw.decode("ascii"), range(len(raw) + 1)
+    text = raw.decode("utf-8", "surrogateescape")
+    places, at = [0], 0
+    for c in text:
+        at += 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode())
+        places.append(at)
+    return re.sub("[\udc80-\udcff]", "�", text), places
+
+
+class Inflater:
+    """What is compressed in chunks of bytes, all members after each other, in steps of bounded size; ``used``: how many
+    bytes they take so far."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.data, self.used = iter(chunks), b"", 0
+
+    def _more(self) -> bool:
+        self.data = next(self.chunks, b"")
+        return bool(self.data)
+
+    def _member(self):
+        """A decompressor for what comes next, padding skipped; None at the end of the members."""
+        while len(self.data.lstrip(b"\0")) < 10 and (more := next(self.chunks, b"")):
+            self.data += more
+        padding = len(self.data) - len(self.data.lstrip(b"\0")) if self.used else 0
+        head = HEADER.match(self.data, padding)
+        if head is None:
+            return None
+        self.data = self.data[padding:]
+        self.used += padding
+        if head[0][:1] == b"B":
+            return bz2.BZ2Decompressor()
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ) if head[0][:1] == b"\xfd" else zlib.decompressobj(wbits=47)
+
+    def __iter__(self) -> Iterator[bytes]:
         try:
-            while data and not member.eof:
-                out += member.decompress(data, 1 << 20)
-                data = member.unconsumed_tail
-            while not member.eof and (more := member.decompress(b"", 1 << 20)):
-                out += more
-        except zlib.error:
-            return bytes(out), b""
-        raw = member.unused_data
-        if _headed(raw.lstrip(b"\0")):
-            raw = raw.lstrip(b"\0")
-    return bytes(out), raw
-
-
-def _texts(raw: bytes) -> tuple[list[str], int]:
-    """The texts in compressed bytes, inflated again while there is a header, and how many bytes they take."""
-    texts, used = [], 0
-    seen: set[bytes] = set()
-    while _headed(raw) and (key := hashlib.blake2b(raw, digest_size=16).digest()) not in seen:
-        seen.add(key)
-        more, rest = _inflated(raw)
-        used = used or len(raw) - len(rest)
-        # the input may have been cut within a character
-        tail = next((k for k in range(1, 4) if more[-k:][:1] >= b"\xc0"), 0)
-        text = _readable(more)
-        if text is None and tail:
-            text = _readable(more[:-tail])
-        if text is not None:
-            texts.append(text)
-        if len(seen) > 1 and rest and (text := _readable(rest)) is not None:
-            texts.append(text)
-        raw = more
-    return texts, used
+            while (member := self._member()) is not None:
+                while not member.eof:
+                    out = member.decompress(self.data, STEP)
+                    rest = member.unused_data if member.eof else getattr(member, "unconsumed_tail", b"")
+                    self.used += len(self.data) - len(rest)
+                    self.data = rest
+                    if out:
+                        yield out
+                    elif not member.eof and not self.data and not self._more():
+                        return
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return  # what came before counts
+
+
+def _windows(chunks: Iterable[bytes], digest) -> Iterator[bytes]:
+    """The data in parts, cut where nothing of interest can go on."""
+    held, tried = bytearray(), STEP
+    for chunk in chunks:
+        digest.update(chunk)
+        held += chunk
+        while len(held) > 2 * STEP and (cut := CUT.search(held, tried)):
+            yield bytes(held[: cut.end()])
+            del held[: cut.end()]
+            tried = STEP
+        tried = max(STEP, len(held) - 64)
+    yield bytes(held)
+
+
+def _inflated(raw: bytes) -> Iterator[tuple[Iterator[str], int, int]]:
+    """For each stretch of compressed data: texts in it, inflated again while there is a header, and its bytes' span."""
+
+    def chunks(a: int) -> Iterator[bytes]:
+        return (raw[i : i + (1 << 16)] for i in range(a, len(raw), 1 << 16))
+
+    def texts(a: int) -> Iterator[str]:
+        seen: set[bytes] = set()
+        levels = 0
+        while True:
+            levels += 1
+            data: Iterable[bytes] = chunks(a)
+            for _ in range(levels):
+                data = Inflater(data)
+            digest, size = hashlib.blake2b(digest_size=16), 0
+            for window in _windows(data, digest):
+                size += len(window)
+                if PROMISING.search(window):
+                    yield _decoded(window)[0]
+            if not size or digest.digest() in seen:
+                return
+            seen.add(digest.digest())
+
+    at = 0
+    while head := HEADER.search(raw, at):
+        at = head.start() + 1
+        whole = Inflater(chunks(head.start()))
+        if sum(map(len, whole)):
+            yield texts(head.start()), head.start(), head.start() + whole.used
+            at = max(at, head.start() + whole.used)
 
 
 def _replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], list[int]] | None:
@@ -161,43 +228,62 @@ def _replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], l
     return "".join(out), start, end
 
 
-def _percent(run: str) -> list[tuple[str, int]] | None:
-    text = _readable(bytes.fromhex(run.replace("%", "")))
-    return None if text is None else [(c, 3 * len(c.encode())) for c in text]
+def _percent(run: str) -> list[tuple[str, int]]:
+    text, places = _decoded(bytes.fromhex(run.replace("%", "")))
+    return [(c, 3 * (b - a)) for c, a, b in zip(text, places, places[1:])]
 
 
 def _escape(run: str) -> list[tuple[str, int]] | None:
+    if len(run) == 12:
+        return [(chr(0x10000 + (int(run[2:6], 16) - 0xD800 << 10) + int(run[8:], 16) - 0xDC00), 12)]
     code = int(run[2:].strip("{}"), 16)
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), len(run))]
 
 
-def _unpacked(run: str) -> list[tuple[str, bool]]:
-    """What a base64 stretch may hold: (text, whether it was compressed)."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return []
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return []
-    texts = [(text, True) for text in _texts(raw)[0]]
-    if (text := _readable(raw)) is not None:
-        texts.append((text, False))
-    return texts
-
-
-def _packed(layer: Layer) -> Iterator[Layer]:
+def _literal_bytes(layer: Layer) -> Iterator[Layer]:
     """The layers compressed in percent-encoded stretches or bytes literals."""
-    for mark, pattern in (("%", PACKED_PERCENT), ("\\", PACKED_ESCAPE)):
+    for mark, pattern in (("%", PERCENT_BYTES), ("\\x", LITERAL_BYTES)):
         for m in pattern.finditer(layer.text) if mark in layer.text else ():
-            raw, ends = bytearray(), []
-            for b in BYTE.finditer(m.group()):
-                raw.append(int(b[1] or b[2], 16) if b[1] or b[2] else ord(CONTROL.get(b[3], b[3]) if b[3] else b[4]))
-                ends.append(b.end())
-            texts, used = _texts(bytes(raw))
-            for new in texts:
-                a, b = layer.span(m.start(), m.start() + ends[used - 1])
-                yield Layer(new, Same(a), Same(b))
+            if mark not in m[0]:
+                continue
+            raw, places = bytearray(), [0]
+            for b in BYTE.finditer(m[0]):
+                digits = b[1] if mark == "%" else b[2]
+                if digits:
+                    raw.append(int(digits, 16))
+                elif mark != "%" and b[3]:
+                    raw.append(ord(CONTROL.get(b[3], b[3])))
+                else:
+                    raw.extend(b[0].encode())
+                    places.extend(range(places[-1] + 1, b.end()))
+                places.append(b.end())
+            for texts, start, end in _inflated(bytes(raw)):
+                a, b = layer.span(m.start() + places[start], m.start() + places[end])
+                yield from (Layer(text, Same(a), Same(b)) for text in texts)
+
+
+def _base64(layer: Layer, run: str, at: Sequence[int]) -> Iterator[Layer]:
+    """The layers in a base64 stretch whose characters are at these places; its first quadruple may be anywhere."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    for phase in range(4):
+        size = len(body) - phase
+        size -= size % 4 == 1
+        if size < 16:
+            return
+        raw = base64.b64decode(body[phase : phase + size] + "=" * (-size % 4))
+
+        def place(a: int, b: int, phase=phase, whole=len(raw)) -> tuple[int, int]:
+            """The span of some bytes; the last one takes the padding with it."""
+            end = len(at) if b == whole and phase + size == len(body) else phase + -(-b * 4 // 3)
+            return layer.start[at[phase + a * 4 // 3]], layer.end[at[end - 1]]
+
+        for texts, start, stop in _inflated(raw):
+            a, b = place(start, stop)
+            yield from (Layer(text, Same(a), Same(b)) for text in texts)
+        if PROMISING.search(raw):
+            text, places = _decoded(raw)
+            spans = [(layer.start[at[phase + a * 4 // 3]], layer.end[at[phase + -(-b * 4 // 3) - 1]]) for a, b in zip(places, places[1:])]
+            yield Layer(text, [a for a, _ in spans], [b for _, b in spans])
 
 
 def _stretches(text: str) -> Iterator[tuple[str, Sequence[int]]]:
@@ -228,20 +314,9 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
         if mark in text and (got := _replaced(text, pattern, decode)):
             new, start, end = got
             yield Layer(new, [layer.start[i] for i in start], [layer.end[i - 1] for i in end])
-    yield from _packed(layer)
+    yield from _literal_bytes(layer)
     for run, at in _stretches(text):
-        for new, packed in _unpacked(run):
-            if packed:
-                a, b = layer.span(at[0], at[-1] + 1)
-                yield Layer(new, Same(a), Same(b))
-            else:
-                start, end, k = [], [], 0
-                for c in new:
-                    n = len(c.encode())
-                    start.append(layer.start[at[k * 4 // 3]])
-                    end.append(layer.end[at[min(len(at), -(-(k + n) * 4 // 3)) - 1]])
-                    k += n
-                yield Layer(new, start, end)
+        yield from _base64(layer, run, at)
 
 
 def scan_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
@@ -251,17 +326,20 @@ def scan_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
         return base, base, 0
     found = set(base)
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
+    work = [unwrap(Layer(text, range(len(text)), range(1, len(text) + 1)))]
     layers = 0
-    while work:
-        for new in unwrap(work.pop()):
-            key = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass") + b"%d:%d" % (new.start[0], new.end[-1]), digest_size=16).digest()
-            if key in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            work.append(new)
-            found.update((*new.span(a, b), k) for a, b, k in scan(new.text))
+    while work:  # depth first, so that only the layers on the way are held
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        key = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass") + b"%d:%d" % (new.start[0], new.end[-1]), digest_size=16).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        found.update((*new.span(a, b), k) for a, b, k in scan(new.text))
+        work.append(unwrap(new))
     return base, sorted(found, key=lambda x: (x[0], x[2], x[1])), layers
 
 
