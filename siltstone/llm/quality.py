@@ -8,8 +8,9 @@
 4. The rules left over are compiled into one Spark column expression, which scores all texts without Python.
 
 Defined results: a null text counts as empty and is scored like any other; without labels of both
-classes the score is their smoothed mean for every row; labels of repeated ids all count; rows with
-a null label are not learned from; result columns replace input columns of the same name.
+classes the score is their smoothed mean for every row; an id on several rows is learned from once, with its
+smallest label and the smallest statistics of its texts; rows with a null id or label are not learned from; result
+columns replace input columns of the same name; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -172,16 +173,18 @@ def fit(values: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, de
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 10000, **options) -> Model:
-    """Fits a model on at most ``sample_rows`` labelled rows."""
+    """Fits a model on at most ``sample_rows`` labelled documents."""
     sample = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
         .where(F.col("id").isNotNull() & F.col("label").isNotNull())
-        .orderBy(F.xxhash64("id"), "id", "label")
+        .groupBy("id")
+        .agg(F.min("label").alias("label"))
+        .orderBy(F.xxhash64("id"), "id")
         .limit(sample_rows)
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # bounded by sample_rows
-    got = with_statistics(texts, "text", "").drop("text").limit(4 * sample_rows).toPandas()
-    got = got.sort_values(["id", "label", *NAMES], kind="stable")
+    each = with_statistics(texts, "text", "").groupBy("id").agg(F.min(F.struct("label", *NAMES)).alias("row"))
+    got = each.select("id", "row.*").toPandas().sort_values("id", kind="stable")  # at most sample_rows rows
     return fit(got[list(NAMES)].to_numpy(np.float64), got["label"].to_numpy(np.float64), list(NAMES), **options)
 
 

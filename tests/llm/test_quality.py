@@ -1,7 +1,11 @@
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
 
-from siltstone.llm.quality import NAMES, Model, Rule, accepted, fit, learn, op1_rule_ensemble, with_quality
+from siltstone.llm.quality import NAMES, Model, Rule, accepted, fit, learn, learned, op1_rule_ensemble, with_quality
 
 SF = "/root/testdata/sf0.1"
 
@@ -38,6 +42,43 @@ def test_rules_are_sparse_and_compiled_exactly(spark):
     assert got == pytest.approx((1 / (1 + np.exp(-logit[:200]))).tolist())
 
 
+def statistics(text):
+    """The statistics, written out in Python."""
+    t = text or ""
+    n, words, lines = len(t), re.split(r"[ \t\n\x0b\f\r]+", t.strip(" ")), t.split("\n")
+    share = lambda p: len(re.findall(p, t)) / max(1, n)
+    return (
+        math.log1p(n), n / len(words), math.log1p(n / len(lines)), len(set(words)) / len(words), math.log1p(len(set(words))), len(set(lines)) / len(lines),
+        share("[A-Z]"), share("[0-9]"), share(r"[#$%&*@^~<>{}\[\]\\/=_+]"), share(r"[|]"), share("[!?]"), share("[.,;:]"),
+    )
+
+
+def test_scores_of_the_whole_table(spark):
+    """The query against statistics and rules worked out in Python, for the model that was learned."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = learned(spark, docs, sf)
+    assert model.rules
+    got = {r.doc_id: r for r in op1_rule_ensemble(spark, sf).collect()}
+    for r in docs.collect():
+        value = dict(zip(NAMES, statistics(r.text)))
+        logit = model.intercept + sum(u.weight for u in model.rules if all((value[n] <= at) == upper for n, upper, at in u.conditions))
+        want = 1 / (1 + math.exp(-logit))
+        assert got[r.doc_id].score == pytest.approx(want), r.doc_id
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.7)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    assert len(got) == docs.count()
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    docs = [(k, ("good words " if k % 2 else "BAD!! ") * (k % 7 + 1)) for k in range(200)]
+    labels = [(k, k % 2) for k in range(200)]
+    schema = ("doc_id long, text string", "doc_id long, quality int")
+    once = learn(spark.createDataFrame(docs, schema[0]), spark.createDataFrame(labels, schema[1]), sample_rows=150)
+    often = learn(spark.createDataFrame(docs * 9, schema[0]), spark.createDataFrame(labels * 3, schema[1]), sample_rows=150)
+    assert once == often and once.rules
+
+
 def test_same_model_twice(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     assert learn(docs, labels) == learn(docs.repartition(5), labels.repartition(3))
