@@ -5,8 +5,9 @@ and timestamp: a capture run.  Its index entries name the archive, offset and le
 A payload that an earlier record (smaller page id) has is written as a revisit of it.
 
 Index merge: entries are dealt to ranges of (URL key, timestamp, page id), so a hot host or URL is
-cut as well; in a range, the slices of the runs, each sorted already, go through a k-way loser tree.  The
-result is ordered within ranges and across them.
+cut as well.  A range only puts the entries of each run back into the order in which the run lists them, which is
+the order of its archive; the order of keys comes from the k-way loser tree that merges these sorted slices (and raises
+an error if a run is not in order).  The result is ordered within ranges and across them.
 
 Reading follows the merged index: since runs are sorted, a range reads each archive front to back.
 
@@ -16,8 +17,10 @@ attempts are in the index, so lost executors leave at most unused files.
 
 Defined results: a null payload counts as empty; a null URL has the key ""; of equal payloads of at
 least ``min_bytes``, all rows with the smallest page id (repeated rows) are responses; a null page id
-never is the smallest unless all are null; without a timestamp column the capture time is a fixed
-epoch plus the page id in seconds.
+never is the smallest unless all are null; times are in UTC whatever the session's time zone; a null time or one
+outside of the years 1 to 9999, which a WARC date cannot express, is the fixed epoch; without a timestamp column the
+capture time is the epoch plus the page id in seconds, modulo a thousand years; an empty table gives an empty index;
+other columns of the input are not stored.
 """
 
 from __future__ import annotations
@@ -29,19 +32,19 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import bounded_batches, read_table, shared_dir, written
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
+EPOCH = 1577836800  # 2020-01-01 in seconds
+#: Years 1 to 9999, in seconds; and a thousand years.
+FIRST_SECOND, LAST_SECOND, MILLENNIUM = -62135596800, 253402300799, 31556952000
 ENTRY = "key string, ts string, page_id long, run string, offset long, length long, record_type string, payload_digest string"
 ENTRY_SCHEMA = pa.schema([(c, pa.int64() if t == "long" else pa.string()) for c, t in (x.split() for x in ENTRY.split(", "))])
 #: Index entries that a range of the merge holds, about.
@@ -175,24 +178,33 @@ def _write(batches: Iterator[pa.RecordBatch], base: str) -> Iterator[pa.RecordBa
         out.close()
 
 
-def _url_keys(urls: pd.Series) -> pd.Series:
-    return urls.map(url_key)
+def _url_keys(urls: pa.Array) -> pa.Array:
+    return pa.array([url_key(u) for u in urls.to_pylist()], pa.string())
+
+
+def _utc(seconds: Column) -> Column:
+    """A WARC date from seconds, by calendar arithmetic alone, so that the session's time zone has no part in it."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    clock = F.pmod(seconds, F.lit(86400))
+    parts = (F.floor(clock / 3600), F.floor(clock / 60) % 60, clock % 60)
+    return F.concat(F.lpad(F.date_format(day, "yyyy"), 4, "0"), F.date_format(day, "-MM-dd"), F.lit("T"), F.concat_ws(":", *(F.lpad(x.cast("string"), 2, "0") for x in parts)), F.lit("Z"))
 
 
 def write_archive(pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", ts_col: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Writes the archives under ``base``; returns the runs' index entries."""
     bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b""))
-    time = F.col(ts_col).cast("timestamp") if ts_col else F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    id_ = F.col(id_col).cast("long")
+    seconds = F.unix_seconds(F.col(ts_col).cast("timestamp")) if ts_col else F.lit(EPOCH) + F.pmod(F.coalesce(id_, F.lit(0)), F.lit(MILLENNIUM))
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
+        id_.alias("page_id"),
         F.col(url_col).alias("url"),
-        F.date_format(F.coalesce(time, F.lit(EPOCH)), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        _utc(F.when(seconds.between(FIRST_SECOND, LAST_SECOND), seconds).otherwise(EPOCH)).alias("ts"),
         payload.alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
     firsts = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    runs = rows.join(firsts, "digest", "left").withColumn("first", first).withColumn("key", F.pandas_udf(_url_keys, "string")("url")).sortWithinPartitions("key", "ts", "page_id")
+    runs = rows.join(firsts, "digest", "left").withColumn("first", first).withColumn("key", F.arrow_udf(_url_keys, "string")("url")).sortWithinPartitions("key", "ts", "page_id")
     return written(runs.mapInArrow(lambda b: _write(b, base), ENTRY), "cdx-runs")
 
 
@@ -241,7 +253,7 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range's entries, sorted by run and then in order, merged by a loser tree."""
+    """A range's entries, which come run by run in the order of the run, merged by a loser tree."""
     got = [b for b in batches if len(b)]
     if not got:
         return
@@ -250,8 +262,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs: dict[str, list[int]] = {}
     for i, r in enumerate(cols["run"]):
         runs.setdefault(r, []).append(i)
-    order_key = lambda i: (cols["key"][i], cols["ts"][i], cols["page_id"][i] is not None, cols["page_id"][i] or 0, cols["run"][i], cols["offset"][i], i)
-    merged = [x[-1] for x in LoserTree((order_key(i) for i in rows) for rows in runs.values())]
+
+    def listed(name: str, rows: list[int]) -> Iterator[tuple]:
+        last = None
+        for i in rows:
+            own = (cols["key"][i], cols["ts"][i], cols["page_id"][i] is not None, cols["page_id"][i] or 0)
+            if last is not None and own < last:
+                raise ValueError(f"{name} is not in order")
+            last = own
+            yield (*own, name, cols["offset"][i], i)
+
+    merged = [x[-1] for x in LoserTree(listed(name, rows) for name, rows in runs.items())]
     yield from table.take(pa.array(merged, pa.int64())).combine_chunks().to_batches(max_chunksize=4096)
 
 
@@ -259,7 +280,7 @@ def merge_index(entries: DataFrame) -> DataFrame:
     """Capture histories: the entries of all runs in the order of URL key, timestamp and page id."""
     bounded_batches(entries.sparkSession)
     n = max(8, -(-entries.count() // RANGE_ROWS))
-    ranged = entries.repartitionByRange(n, "key", "ts", "page_id", "run", "offset").sortWithinPartitions("run", "key", "ts", "page_id", "offset")
+    ranged = entries.repartitionByRange(n, "key", "ts", "page_id", "run", "offset").sortWithinPartitions("run", "offset")
     return ranged.mapInArrow(_merge, ENTRY)
 
 

@@ -2,9 +2,12 @@ import base64
 import gzip
 import hashlib
 import random
+from datetime import datetime, timedelta
+
+import pytest
 
 from siltstone.llm.common import shared_dir
-from siltstone.llm.warc import LoserTree, Store, merge_index, op9_warc, parse, read_archive, record, sha1_base32, url_key, write_archive
+from siltstone.llm.warc import ENTRY, LoserTree, Store, merge_index, op9_warc, parse, read_archive, record, sha1_base32, url_key, write_archive
 
 
 def test_whole_table(spark):
@@ -53,6 +56,42 @@ def test_history_is_ordered_and_read_back(spark):
     assert merge_index(write_archive(pages.limit(0), base + "-none")).count() == 0
 
 
+def test_times(spark):
+    """Large ids, dates out of range and other time zones."""
+    ids = [1, 300_000_000_000, 2**63 - 1, -5, None]
+    pages = spark.createDataFrame([(k, "http://a.b/", f"page {k}") for k in ids], "page_id long, url string, html string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            index = merge_index(write_archive(pages, f"{shared_dir(spark)}/warc-times-{z[:2]}"))
+            got = {r.page_id: r.ts for r in index.collect()}
+            assert got[1] == "2020-01-01T00:00:01Z" and got[None] == "2020-01-01T00:00:00Z" and set(got) == set(ids)
+            for k in ids[:-1]:
+                second = k % (1000 * 31556952)
+                assert got[k] == (datetime(2020, 1, 1) + timedelta(seconds=second)).strftime("%Y-%m-%dT%H:%M:%SZ")
+            assert [r.ts for r in index.collect()] == sorted(got.values())
+            stamped = spark.sql("SELECT 1L AS page_id, 'u' AS url, 'x' AS html, timestamp_seconds(300000000000) AS t UNION ALL SELECT 2L, 'u', 'x', timestamp_seconds(-1) UNION ALL SELECT 3L, 'u', 'x', null")
+            got = {r.page_id: r.ts for r in merge_index(write_archive(stamped, f"{shared_dir(spark)}/warc-stamps-{z[:2]}", ts_col="t")).collect()}
+            assert got == {1: "2020-01-01T00:00:00Z", 2: "1969-12-31T23:59:59Z", 3: "2020-01-01T00:00:00Z"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_very_long_payload(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/", "x" * (3 << 20)), (2, "http://a.b/", "x" * (3 << 20)), (3, "http://a.b/" + "u" * 100000, "é" * (1 << 20))], "page_id long, url string, html string")
+    base = shared_dir(spark) + "/warc-long"
+    got = {r.page_id: r for r in read_archive(merge_index(write_archive(pages, base)), base, payload=True).collect()}
+    assert (got[1].payload_bytes, got[2].refers_to, got[3].payload_bytes) == (3 << 20, 1, 2 << 20)
+    assert bytes(got[3].payload).decode() == "é" * (1 << 20) and got[3].url.endswith("u" * 100000)
+
+
+def test_runs_out_of_order_are_refused(spark):
+    rows = [(f"{1000 - k}", "2020", k, "r", k, 1, "response", "x") for k in range(500)]
+    with pytest.raises(Exception, match="not in order"):
+        merge_index(spark.createDataFrame(rows, ENTRY)).collect()
+
+
 def test_records_and_files(tmp_path):
     raw = record(3, "http://a.b/c", "2020-01-01T00:00:03Z", b"\r\n\r\nWARC/1.1", sha1_base32(b"\r\n\r\nWARC/1.1"), None)
     assert parse(raw)["payload"] == b"\r\n\r\nWARC/1.1" and parse(raw)["page_id"] == 3
