@@ -1,20 +1,25 @@
 """Near-duplicate join on the Jaccard similarity of word n-grams, with Bayesian candidate pruning.
 
 1. Equal word sequences are one class from the start; only its smallest id, the representative, goes on.
-2. MinHash values in bands give coarse groups: representatives that share a band are linked, and the
-   connected components of these links are found.  Every pair that shares a band is inside one of them.
-3. A group is cut into blocks by a hash of the id, and pairs of blocks are compared: of the pairs that
-   share a band, MinHash values are compared 16 at a time, and a pair is dropped once the posterior
-   probability (uniform prior) that its similarity reaches the threshold is below ``tolerance``.
-4. The pairs left are verified exactly on their n-gram sets.  A block pair gives each document's number of
-   links and its local component, never the pairs, so that a large group of copies stays linear.
+2. MinHash values in bands give buckets of representatives; of buckets with the same members one is kept.  Inside
+   a bucket, MinHash values are compared 16 at a time, and a pair is dropped once the posterior probability
+   (uniform prior) that its similarity reaches the threshold is below ``tolerance``.  Pairs are never
+   written: a bucket only gives, for each member, the smallest one that surviving pairs connect it with, and pairs that
+   are connected already are not compared.  A bucket of more than an eighth of ``bucket`` members is cut into
+   blocks of at most ``bucket`` by a hash of the id, and pairs of blocks are compared, so that no task sees all of it.
+3. The connected components of these links are groups.  Every pair that survived is inside one of them; documents
+   that share a band by chance, or some boilerplate, are not.
+4. A group is cut into blocks as well; in pairs of blocks, pairs that share a band and survive the same pruning
+   are verified exactly on their n-gram sets.  A block pair gives each document's number of links and its local
+   component.  Counting all links of a group of n different near copies takes n^2 / 2 comparisons by
+   definition; a text is read once for each block of its group.
 
 At a similarity of 0.8 a pair shares none of 24 bands of 4 values with a probability of 3e-6, and less
 above it; ``tolerance`` is 1e-6.
 
 Defined results: a text with fewer words than the n-gram has, but some, is one n-gram; a null text or one
 without words has no links and is its own class; rows with equal ids are one document; a null id
-gets a null class, and its links are not counted; an empty table gives an empty result.
+gets a null class, and its links are not counted; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,7 +76,7 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """id, two digests of the word sequence (null without words), bytes, and band keys."""
+    """id, two digests of the word sequence (null without words), bytes, and the MinHash values."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         ids = batch.column("id")
@@ -80,24 +85,78 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             shingles, first = words.shingles(size)
             has = np.diff(first) > 0
             digest = np.zeros((2, j - i), np.uint64)
-            keys = np.zeros((j - i, BANDS), np.uint64)
+            values = np.zeros((j - i, HASHES), np.uint32)
             if has.any():
                 place = (np.arange(len(words), dtype=np.uint64) - np.repeat(words.first[:-1], np.diff(words.first)).astype(np.uint64))
                 starts = words.first[:-1][has]
                 for k, salt in enumerate(seeded(54, 2)):
                     digest[k, has] = np.add.reduceat(mix64(words.hash + (place + np.uint64(1)) * salt), starts)
-                keys[has] = band_keys(minhash(shingles, first))
+                values[has] = minhash(shingles, first)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(i, j - i),
                     *(pa.array(d.view(np.int64), mask=~has) for d in digest),
                     pa.array(np.diff(offsets[i : j + 1])),
-                    pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64())),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * HASHES), j - i, [None, pa.py_buffer(values)]).cast(pa.binary()),
                 ],
-                names=["id", "d1", "d2", "bytes", "bands"],
+                names=["id", "d1", "d2", "bytes", "signature"],
             )
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key) for each band."""
+    for batch in batches:
+        keys = band_keys(_signatures(batch.column("signature")))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS)), pa.array(keys.ravel().view(np.int64))], names=["id", "key"])
+
+
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def _survivors(signature: np.ndarray, i: np.ndarray, j: np.ndarray, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that are left after comparing MinHash values part by part."""
+    matches = np.zeros(len(i), np.int64)
+    for k, least in enumerate(need):
+        part = slice(k * CHUNK, (k + 1) * CHUNK)
+        for c in range(0, len(i), 1 << 18):
+            own = slice(c, c + (1 << 18))
+            matches[own] += (signature[i[own], part] == signature[j[own], part]).sum(axis=1)
+        ok = matches >= least
+        i, j, matches = i[ok], j[ok], matches[ok]
+    return i, j
+
+
+def _connect(table: pa.Table, threshold: float, tolerance: float) -> pa.Table:
+    """(id, root) for the members of a block pair, or of several small buckets, that surviving pairs connect."""
+    table = table.sort_by([("key", "ascending"), ("id", "ascending")])
+    ids, key, side = (table.column(c).to_numpy() for c in ("id", "key", "side"))
+    across = table.column("x")[0].as_py() != table.column("y")[0].as_py()
+    signature = _signatures(table.column("signature"))
+    need = least_matches(threshold, tolerance)
+    n = len(ids)
+    root = np.arange(n)
+    end = np.searchsorted(key, key, "right")  # of each one's bucket
+    lo, rows = 0, 16
+    while lo < n:  # few rows first: they connect most of a group, whose pairs need not be compared any more
+        hi = min(n, lo + rows)
+        size = end[lo:hi] - np.arange(lo, hi) - 1
+        while hi > lo + 1 and size[: hi - lo].sum() > 1 << 22:
+            hi = lo + max(1, (hi - lo) // 2)
+        size = size[: hi - lo]
+        i = np.repeat(np.arange(lo, hi), size)
+        j = i + 1 + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        ok = root[i] != root[j]
+        if across:
+            ok &= side[i] != side[j]
+        i, j = _survivors(signature, i[ok], j[ok], need)
+        if len(i):
+            root = local_roots(n, np.concatenate([root, i]), np.concatenate([np.arange(n), j]))
+        lo, rows = hi, 2 * rows
+    moved = root != np.arange(n)
+    return pa.table({"id": ids[moved], "root": ids[root[moved]]})
+
+
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles, sorted within each text, and the place of each text's first."""
     shingles, first = words.shingles(size)
@@ -153,14 +212,7 @@ def similar_pairs(sets: np.ndarray, first: np.ndarray, side: np.ndarray | None,
             mask &= side[lo:hi][:, None] != side[None, :]
         mask &= np.arange(lo, hi)[:, None] < np.arange(n)[None, :]
         i, j = np.nonzero(mask)
-        i += lo
-        matches = np.zeros(len(i), np.int64)
-        for k, least in enumerate(need):
-            part = slice(k * CHUNK, (k + 1) * CHUNK)
-            for c in range(0, len(i), 1 << 18):
-                matches[c : c + (1 << 18)] += (signature[i[c : c + (1 << 18)], part] == signature[j[c : c + (1 << 18)], part]).sum(axis=1)
-            ok = matches >= least
-            i, j, matches = i[ok], j[ok], matches[ok]
+        i, j = _survivors(signature, i + lo, j, need)
         if len(i):
             both = intersections(sets, first, i, j)
             ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
@@ -205,24 +257,51 @@ def _compare(table: pa.Table, size: int, threshold: float, tolerance: float) ->
     return pa.table({"id": ids[keep], "root": ids[root[keep]], "links": links[keep]})
 
 
-def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 256) -> DataFrame:
+def _groups(reps: DataFrame, threshold: float, tolerance: float, bucket: int) -> DataFrame:
+    """(id, component) of the representatives that surviving pairs connect."""
+    spark = reps.sparkSession
+    keyed = reps.select("rep", "signature").mapInArrow(_bands, "id long, key long")
+    # buckets with the same members are one
+    shared = keyed.groupBy("key").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.sum(F.shiftright(F.xxhash64("id", F.lit(1)), 24)).alias("s2")).where("n > 1")
+    shared = written(shared.groupBy("m", "n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    small = 64
+    bins = max(1, -(-(shared.where(F.col("n") <= small).agg(F.sum("n")).first()[0] or 0) // 4096))
+    most = F.least(F.greatest(F.ceil(F.col("n") / 4), F.lit(bucket // 8)), F.lit(bucket))
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    # sort-merge joins at every size, so that a small test shuffles what a large run will
+    member = keyed.join(shared.hint("merge"), "key").select("id", "key", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
+    rows = member.join(reps.select(F.col("rep").alias("id"), "signature").hint("merge"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "id",
+        "key",
+        "signature",
+        F.when(F.col("n") <= small, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key")).alias("part"),
+        F.least("own", "other").alias("x"),
+        F.greatest("own", "other").alias("y"),
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
+    )
+    found = rows.groupBy("part", "x", "y").applyInArrow(lambda t: _connect(t, threshold, tolerance), "id long, root long")
+    bounded_batches(spark)
+    return components(found, "id", "root")
+
+
+def near_classes(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 256, bucket: int = 8192
+) -> DataFrame:
     """For each row of ``df``: its id, ``class_id`` (the smallest id of its near-duplicate class) and
     ``n_links`` (documents with at least the similarity, copies included)."""
     spark = df.sparkSession
     bounded_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = written(docs.mapInArrow(lambda b: _sketch(b, size), "id long, d1 long, d2 long, bytes long, bands array<long>"), "sketch")
-    # copies of a text take part in the links by bands, but only representatives are compared
+    sketch = written(docs.mapInArrow(lambda b: _sketch(b, size), "id long, d1 long, d2 long, bytes long, signature binary"), "sketch")
+    # copies of a text have equal values; only representatives go on
     reps = written(
         sketch.where("id is not null and d1 is not null")
         .groupBy("d1", "d2")
-        .agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("bytes").alias("bytes")),
+        .agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("bytes").alias("bytes"), F.min("signature").alias("signature")),
         "reps",
     )
-    keyed = sketch.where("id is not null and d1 is not null").select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("most")).where("m < most").drop("most")
-    # sort-merge joins at every size, so that a small test shuffles what a large run will
-    coarse = components(keyed.join(shared.hint("merge"), "key").select("id", "m"), "id", "m")
+    coarse = _groups(reps, threshold, tolerance, bucket)
     one = reps.groupBy(F.col("rep").alias("id")).agg(F.max("copies").alias("copies"), F.max("bytes").alias("bytes"))
     member = written(one.join(coarse, "id"), "members")
     total = member.count()

@@ -57,4 +57,14 @@ v AS (SELECT page_id, payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS fi
 SELECT page_id, payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to FROM v"""
 
-ORACLE_SQL = {"op2_suffix_merge": SUFFIXES, "op7_wu_manber": BENCHMARK, "op8_mixing": MIXING, "op9_warc": WARC}
+NEAR = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM w, unnest(range(greatest(1, len(w) - 4))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 10 * c >= 8 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = doc_id), doc_id) AS class_id, (SELECT count(*) FROM e WHERE e.x = doc_id) AS n_links FROM documents"""
+
+ORACLE_SQL = {"op2_suffix_merge": SUFFIXES, "op5_jaccard_join": NEAR, "op7_wu_manber": BENCHMARK, "op8_mixing": MIXING, "op9_warc": WARC}

@@ -1,9 +1,14 @@
 import random
 from itertools import combinations
 
+import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from siltstone.llm.near import intersections, least_matches, near_classes
+from siltstone.llm.components import components
+from siltstone.llm.near import _bands, _groups, _sketch, intersections, least_matches, near_classes, op5_jaccard_join
+from siltstone.llm.oracle import ORACLE_SQL
 from siltstone.llm.words import words_of
 
 
@@ -44,6 +49,14 @@ def test_whole_table(spark):
     assert any(r[2] > 1 for r in got)
 
 
+def test_whole_table_in_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = set(con.sql(ORACLE_SQL["op5_jaccard_join"]).select("doc_id, class_id, n_links").fetchall())
+    assert {tuple(r) for r in op5_jaccard_join(spark, sf).collect()} == want
+
+
 def test_large_group_in_blocks(spark):
     rng = random.Random(5)
     base = [f"word{rng.randrange(500)}" for _ in range(120)]
@@ -55,8 +68,57 @@ def test_large_group_in_blocks(spark):
         docs.append((k * 3, " ".join(w)))
     docs += [(1000 + k, " ".join(f"x{rng.random()}" for _ in range(50))) for k in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    for block in (16, 40, 256):
-        assert {tuple(r) for r in near_classes(df, block=block).collect()} == brute(docs)
+    for block, bucket in ((16, 8192), (40, 30), (256, 100)):  # buckets in blocks, too
+        assert {tuple(r) for r in near_classes(df, block=block, bucket=bucket).collect()} == brute(docs)
+
+
+def test_pairs_that_only_share_a_band_are_not_grouped(spark):
+    """Half of the words are boilerplate: similar at a third, hence in common buckets by chance, but not connected."""
+    rng = random.Random(6)
+    plate = " ".join(f"plate{i}" for i in range(60))
+    docs = [(k, plate + " " + " ".join(f"own{k}x{i}" for i in range(50))) for k in range(300)]
+    docs += [(1000 + k, docs[k][1] + " end") for k in range(0, 300, 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    reps = df.select(F.col("doc_id").alias("id"), "text").mapInArrow(lambda b: _sketch(b, 5), "id long, d1 long, d2 long, bytes long, signature binary").withColumnRenamed("id", "rep")
+    keys = reps.select("rep", "signature").mapInArrow(_bands, "id long, key long").groupBy("key").count()
+    assert keys.agg(F.max("count")).first()[0] > 2
+    groups = {}
+    for r in _groups(reps, 0.8, 1e-6, 64).collect():
+        groups.setdefault(r.component, set()).add(r.id)
+    assert sorted(map(sorted, groups.values())) == [[k, 1000 + k] for k in range(0, 300, 7)]
+    assert {tuple(r) for r in near_classes(df).collect()} == brute(docs)
+
+
+@pytest.mark.parametrize("size", [1, 5, 300, 2000])
+def test_components_with_hubs(spark, size):
+    """Stars around a few hubs (more links than a hub needs), chains between them, in any numbering."""
+    rng = random.Random(size)
+    name = list(range(5 * size + 10))
+    rng.shuffle(name)
+    links = [(name[c * size], name[c * size + i]) for c in range(5) for i in range(1, size)]
+    links += [(name[0], name[size]), (name[5 * size], name[5 * size + 1]), (name[5 * size + 1], name[5 * size + 2]), (3, 3)]
+    root = {}
+    for a, b in links:
+        root.setdefault(a, a), root.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(root[a], root[b])
+            if root[a] != m or root[b] != m:
+                root[a] = root[b] = m
+                changed = True
+    rng.shuffle(links)
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == {k: m for k, m in root.items() if any(k in x and x[0] != x[1] for x in links)}
+
+
+def test_very_long_text(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:-5000])), (3, " ".join(words[100_000:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in near_classes(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 3, 0)}
 
 
 def test_edges(spark):
