@@ -13,9 +13,10 @@
 
 Text goes through one shuffle, by id; the exchange serves both the cutting and the removal.
 
-Defined results: a null text counts as empty; matches never cross documents; rows with equal ids are one
-document (so repeated rows get the same result, and none is a copy of the other); a row without an id is not
-compared with others and loses nothing; an empty table gives an empty one.
+Defined results: ids are integers; a null text counts as empty; matches never cross documents; rows with equal ids are
+one document (so repeated rows get the same result, and none is a copy of the other); if their texts differ, the
+document is the text with the smallest hash, and rows with other texts of that id, like those without an id, are not
+compared with others and lose nothing; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -353,7 +354,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"length must be a multiple of 4 and at least {GRAM + 8}")
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    named = docs.where("id is not null")
+    named, lone = docs.where("id is not null"), docs.where("id is null")
+    hashes = named.groupBy("id").agg(F.min(F.xxhash64("text")).alias("t"), F.max(F.xxhash64("text")).alias("most"))
+    odd = written(hashes.where("t <> most").select("id", "t"), "odd")
+    if not odd.isEmpty():
+        marked = named.join(odd, "id", "left")
+        other = F.col("t").isNotNull() & (F.xxhash64("text") != F.col("t"))
+        named, lone = marked.where(~other).select("id", "text"), lone.unionByName(marked.where(other).select("id", "text"))
     found = named.mapInArrow(lambda b: _find(b, length), ANCHOR).repartition("h").sortWithinPartitions("h", "c", "id", "pos")
     decided = written(found.mapInArrow(_decide, RANGES), "anchors")
     places = decided.where("pos >= 0").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("pos", "start", "size"))).alias("places"))
@@ -364,7 +371,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranges = decided.where("pos < 0").select("id", "start", "size").union(resolved)
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
     out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
-    with_ranges = named.join(ranges.hint("merge"), "id", "left").unionByName(docs.where("id is null").withColumn("ranges", F.lit(None).cast("array<struct<start:int,size:int>>")))
+    with_ranges = named.join(ranges.hint("merge"), "id", "left").unionByName(lone.withColumn("ranges", F.lit(None).cast("array<struct<start:int,size:int>>")))
     return with_ranges.mapInArrow(_removed, out).withColumnRenamed("id", id_col)
 
 

@@ -107,3 +107,28 @@ def test_decisions_do_not_depend_on_batches(size):
     undecided = [(i, p * 10, 7, p) for (h, c), (i, p) in first.items() if len(classes[h]) > 1]
     assert sorted(g for g in got if g[3] >= 0) == sorted(undecided)
     assert {g for g in got if g[3] < 0} == set(want) | {(i, p * 10, 7, -1) for _, _, i, p in later}
+
+
+def test_one_id_with_several_texts(spark):
+    """Only one of its texts takes part; the others are left as they are, like rows without an id."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(3)]
+    rows = [(1, texts[0]), (1, texts[1] + texts[2]), (1, texts[0]), (2, texts[1] + "x" + texts[0]), (3, texts[2]), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()}
+    results = []
+    for own in (0, 1):
+        want = brute({1: rows[own][1], 2: rows[3][1], 3: rows[4][1]})
+        all_ = {(k, v[0]): v[1:] for k, v in want.items()}
+        for k, other in ((1, rows[1 - own][1]), (None, texts[0])):
+            all_[k, len(other)] = (0, 0, hashlib.sha256(other.encode()).hexdigest())
+        results.append(all_)
+    assert got in results and len(remove_repeats(df).collect()) == len(rows)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    block = "".join(rng.choice("abcdefghij é") for _ in range(300_000))
+    docs = {1: block, 2: block[150_000:] + "|" + block[:1000], 3: "q" * 400_000}
+    got = {r.doc_id: tuple(r)[1:5] for r in remove_repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == brute(docs)
