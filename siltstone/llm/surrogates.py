@@ -88,7 +88,10 @@ PRIVATE = r"10|127|169\.254|192\.168|172\.(?:1[6-9]|2\d|3[01])"
 
 def _title(words: list[str]) -> str:
     forms = {f for t in words for f in (t, t[0].upper() + t[1:], t.upper(), t if t in CAPITAL_ONLY else t.lower())}
-    return "(?:" + "|".join(sorted(forms, key=lambda t: (-len(t), t))) + ")"
+    by_first: dict[str, list[str]] = {}
+    for f in sorted(forms, key=lambda t: (-len(t), t)):
+        by_first.setdefault(f[0], []).append(f[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"
 
 
 ANY_TITLE = _title([t for x in TITLES.values() for t in x])
@@ -108,7 +111,8 @@ PATTERNS = {
 }
 #: Matches of all kinds but e-mail start with one of these characters, which spares trying each pattern elsewhere.
 FIRST = "".join(sorted({f for t in TITLES.values() for w in t for f in (w[0].lower(), w[0].upper())}))
-OTHERS = f"(?=[0-9+(A-Z{FIRST}])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email") + ")"
+NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "card", "ssn", "ip"))
+OTHERS = f"(?=[0-9+(])(?:{NUMBERS})|(?=[A-Z][A-Z][0-9])(?:{PATTERNS['iban']})|(?=[{FIRST}])(?:{PATTERNS['name']})"
 ANY = f"(?:{PATTERNS['email']})|{OTHERS}"
 MOST_ATTEMPTS = 12
 
