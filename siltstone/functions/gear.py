@@ -99,6 +99,7 @@ def cut_points(data: np.ndarray, offsets: np.ndarray, average: int) -> list[np.n
     return [np.array(e, np.int32) for e in ends]
 
 
+#: Bytes of a window and base of its polynomial.  Fixed values.
 WINDOW_N, BASE_N = 64, 257
 
 
@@ -128,6 +129,7 @@ def ntransform(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Prime, base and bytes of a window.  Fixed values.
 PRIME_F, BASE_F, WINDOW_F = 1_000_000_007, 37, 48
 
 

@@ -3,6 +3,8 @@ by their decimal form with leading zeros."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +19,29 @@ def digest(values: Column) -> Column:
     return F.md5(F.array_join(F.transform(values, lambda x: x.cast("string")), ",").cast("binary"))
 
 
-def super_features(features: Column, per: int = 4) -> Column:
-    """Keys of each run of ``per`` features, in their own order."""
-    return F.transform(F.sequence(F.lit(0), F.lit(12 // per - 1)), lambda i: digest(F.slice(features, i * per + 1, per)))
+def xxh64(values: Column) -> Column:
+    """XXH64 with seed 42 of the bytes of several longs, each as eight bytes, the lowest first."""
+
+    def low_first(x: Column) -> Column:
+        digits = F.lpad(F.hex(x), 16, "0")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.substr(digits, F.lit(15) - k * 2, F.lit(2))), "")
+
+    return F.xxhash64(F.unhex(F.array_join(F.transform(values, low_first), "")))
+
+
+def super_features(features: Column, per: int = 4, sort: bool = False, key: Callable[[Column], Column] = digest) -> Column:
+    """Keys of each run of ``per`` features, in their own order or (``sort``) after all features are put in ascending order;
+    with one feature each, the features themselves are the keys."""
+    if sort:
+        features = F.transform(F.array_sort(F.transform(features, lambda x: F.struct(unsigned(x).alias("digits"), x.alias("x")))), lambda s: s["x"])
+    if per == 1:
+        return F.transform(features, unsigned)
+    return F.transform(F.sequence(F.lit(0), F.lit(12 // per - 1)), lambda i: key(F.slice(features, i * per + 1, per)))
+
+
+def random_id(seed: int | None = None) -> Column:
+    """A random UUID for each row; with a seed, the same ones again for the same partitions."""
+    return F.uuid() if seed is None else F.uuid(F.lit(seed))
 
 
 def strided_super_features(features: Column, sort: bool = False) -> Column:

@@ -11,11 +11,13 @@ from siltstone.session import prepare
 
 
 def fixed_chunks(files: DataFrame, size: int) -> DataFrame:
-    """(file_id, seq, size, content) of chunks of ``size`` bytes, the last one shorter; none of empty files."""
+    """(file_id, seq, size, content) of chunks of ``size`` bytes, the last one shorter; none of empty files.  A row is a
+    file, or, with a column ``start``, a range of one that starts at a multiple of ``size``."""
     n = F.octet_length("content")
-    rows = files.where(n > 0).select("file_id", "content", F.explode(F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)).alias("seq"))
-    part = F.substring(F.col("content"), F.col("seq") * size + 1, F.lit(size))
-    return rows.select("file_id", "seq", part.alias("content")).select("file_id", "seq", F.octet_length("content").alias("size"), "content")
+    first = F.floor(F.col("start") / size).cast("int") if "start" in files.columns else F.lit(0)
+    rows = files.where(n > 0).select("file_id", "content", first.alias("first"), F.explode(F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)).alias("at"))
+    part = F.substring(F.col("content"), F.col("at") * size + 1, F.lit(size))
+    return rows.select("file_id", (F.col("first") + F.col("at")).alias("seq"), part.alias("content")).select("file_id", "seq", F.octet_length("content").alias("size"), "content")
 
 
 def pieces(content: Column, ends: Column) -> Column:
@@ -36,5 +38,7 @@ def chunks(files: DataFrame, config: Config) -> DataFrame:
     if config.chunking == "fixed":
         return fixed_chunks(files, config.chunk_size)
     if config.chunking == "cdc":
+        if "start" in files.columns:
+            raise ValueError("content-defined chunks need whole files")
         return cdc_chunks(files, config.chunk_size)
     raise ValueError(f"chunking is 'fixed' or 'cdc', not {config.chunking!r}")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.arrow import lz4
-from siltstone.operators.ids import ranged
+from siltstone.operators.ids import ranged, running_sum
 from siltstone.session import prepare, written
 
 CONTAINER_BYTES = 4 << 20
+#: Ranges whose tables are put together in a task.
+BLOCK = 64
 
 
 def compress_chunks(chunks: DataFrame) -> DataFrame:
@@ -24,9 +28,7 @@ def compress_groups(groups: DataFrame, chunks: DataFrame) -> DataFrame:
     ascending id.  A group has at most cap chunks, so its list is bounded."""
     prepare(chunks.sparkSession)
     rows = groups.select("grp", "chunk_id").join(chunks.select("chunk_id", "content"), "chunk_id")
-    lists = rows.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))).alias("m"))
-    whole = F.aggregate("m", F.lit(b""), lambda s, x: F.concat(s, x["content"]))
-    joined = lists.select("grp", F.transform("m", lambda x: x["chunk_id"]).alias("chunk_ids"), whole.alias("raw"))
+    joined = rows.groupBy("grp").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"), F.expr("listagg(content) WITHIN GROUP (ORDER BY chunk_id)").alias("raw"))
     packed = joined.withColumn("p", lz4(F.col("raw")))
     return packed.select(
         "grp",
@@ -38,18 +40,6 @@ def compress_groups(groups: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def running_sum(rows: DataFrame, order: list, value: str, name: str) -> DataFrame:
-    """``rows`` with the sum of ``value`` over all rows before, in the order given: sums within ranges and
-    one offset for each range."""
-    parts = ranged(rows, order)
-    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy("_part").agg(F.sum(value).alias("s"))
-    before = F.sum("s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    base = sums.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
-    out = parts.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(base), "_part")
-    return out.withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_at", "_own", "_base")
-
-
 def laid_out(compressed: DataFrame) -> DataFrame:
     """Groups numbered by their smallest chunk, with their offset in the compressed stream.  Numbers and
     offsets come from the same ranges: their rows and bytes are summed in one small table."""
@@ -73,25 +63,78 @@ def chunk_offsets(groups: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def containers(chunks: DataFrame, limit: int = CONTAINER_BYTES) -> DataFrame:
     """(chunk_id, size, container_id, offset): chunks in order, a new container whenever the next one does
-    not fit.  The carry is sequential; it runs over the sizes only, a range at a time: the ranges' state is the
-    fill with which each starts, found by following the first start of each range from the range before."""
+    not fit.  The carry is sequential, but what a range does to each fill with which it may start is a small table; the
+    tables of ``BLOCK`` ranges are put together in a task, and only those of blocks are followed by the driver."""
     parts = ranged(chunks.select("chunk_id", "size"), ["chunk_id"])
     prepare(chunks.sparkSession)
     ordered = parts.repartition("_part").sortWithinPartitions("_part", "_at")
     ends = ordered.groupBy("_part").applyInArrow(lambda t: _transitions(t, limit), "_part int, entry long, opened long, fill long")
-    table: dict[int, list] = {}
-    for r in ends.collect():  # for each range at most as many rows as a container has chunks
-        table.setdefault(r["_part"], []).append((r["entry"], r["opened"], r["fill"]))
+    ends = written(ends.withColumn("block", F.floor(F.col("_part") / BLOCK).cast("int")), "transitions")
+    blocks = ends.groupBy("block").applyInArrow(_composed, "block int, entry long, opened long, fill long").collect()
     start, container, fill = [], -1, limit
-    for p in sorted(table):
-        start.append((p, container, fill))
-        _, opened, end = max(e for e in table[p] if e[0] <= fill)
-        container, fill = container + opened, end if end >= 0 else fill - end - 1
-    states = chunks.sparkSession.createDataFrame(start, "_part int, c long, f long")
+    tables = _tables((r["block"], r["entry"], r["opened"], r["fill"]) for r in blocks)
+    for b in sorted(tables):
+        start.append((b, container, fill))
+        opened, fill = _passed(tables[b], fill)
+        container += opened
+    begun = chunks.sparkSession.createDataFrame(start, "block int, c long, f long")
+    states = ends.join(F.broadcast(begun), "block").groupBy("block").applyInArrow(_starts, "_part int, c long, f long")  # a row for each range
     rows = ordered.join(F.broadcast(states), "_part")
     return rows.groupBy("_part").applyInArrow(lambda t: _placed(t, limit), "chunk_id long, size int, container_id long, offset long")
 
 
+def _tables(rows: Iterable[tuple]) -> dict[int, list[tuple[int, int, int]]]:
+    out: dict[int, list] = {}
+    for p, *row in rows:
+        out.setdefault(p, []).append(tuple(row))
+    return {p: sorted(t) for p, t in out.items()}
+
+
+def _passed(table: list[tuple[int, int, int]], fill: int) -> tuple[int, int]:
+    """(containers opened, fill at the end) of a range that starts with ``fill``."""
+    _, opened, end = max(e for e in table if e[0] <= fill)
+    return opened, end if end >= 0 else fill - end - 1
+
+
+def _by_part(table) -> dict[int, list[tuple[int, int, int]]]:
+    return _tables(zip(*(table.column(c).to_pylist() for c in ("_part", "entry", "opened", "fill"))))
+
+
+def _composed(table):
+    """The table of a block of ranges, in the form of a range's own."""
+    import pyarrow as pa
+
+    parts = [t for _, t in sorted(_by_part(table).items())]
+    entries, before = set(), 0
+    for t in parts:  # as long as nothing may have been opened, later ranges tell fills apart, too
+        entries |= {max(0, e - before) for e, _, _ in t}
+        kept = [-end - 1 for _, _, end in t if end < 0]
+        if not kept:
+            break
+        before += kept[0]
+    rows = []
+    for entry in sorted(entries):
+        opened, fill = 0, entry
+        for t in parts:
+            more, fill = _passed(t, fill)
+            opened += more
+        rows.append((entry, opened, fill if opened else -1 - (fill - entry)))
+    block = table.column("block")[0].as_py()
+    return pa.table({"block": pa.array([block] * len(rows), pa.int32()), **{n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(("entry", "opened", "fill"))}})
+
+
+def _starts(table):
+    """Container and fill with which each range of a block starts."""
+    import pyarrow as pa
+
+    container, fill, rows = table.column("c")[0].as_py(), table.column("f")[0].as_py(), []
+    for part, t in sorted(_by_part(table).items()):
+        rows.append((part, container, fill))
+        opened, fill = _passed(t, fill)
+        container += opened
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("_part", pa.int32()), ("c", pa.int64()), ("f", pa.int64())))})
+
+
 def _run(sizes, fill: int, limit: int) -> tuple[list[int], list[int], int]:
     opened, bins, offsets_ = 0, [], []
     for n in sizes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.ids import dense_id
+from siltstone.operators.ids import dense_id, places, running_sum
 
 
 def with_fingerprint(chunks: DataFrame) -> DataFrame:
@@ -13,8 +13,11 @@ def with_fingerprint(chunks: DataFrame) -> DataFrame:
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """Chunks with an id each, in the order of files and places; nothing is removed."""
-    return dense_id(chunks, ["file_id", "seq"], "chunk_id")
+    """Chunks with an id each, in the order of files and places; nothing is removed.  Places in a file are dense, so only
+    the files' numbers of chunks are summed up; the content is not sorted."""
+    counts = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n"))
+    base = running_sum(counts, ["file_id"], "_n", "_first").select("file_id", "_first")
+    return chunks.join(base, "file_id").withColumn("chunk_id", F.col("_first") + F.col("seq")).drop("_first")
 
 
 def first_occurrences(fingerprints: DataFrame) -> DataFrame:
@@ -35,8 +38,9 @@ def recipes(fingerprints: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def fp_index(chunks: DataFrame) -> DataFrame:
-    """(fp, chunk_ids) of chunks that have ids."""
-    return chunks.groupBy("fp").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+    """(fp, place, chunk_id): the chunks of each fingerprint by id, in long form, since one fingerprint may have
+    any number of them."""
+    return places(chunks.select("fp", "chunk_id"), ["fp"], ["chunk_id"])
 
 
 def survivors(chunks: DataFrame) -> DataFrame:

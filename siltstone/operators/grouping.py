@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import combinations
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.ids import places
-from siltstone.session import prepare
+from siltstone.session import prepare, written
 
 
 def pack(rows: DataFrame, keys: list[str], order: list, cap: int) -> DataFrame:
@@ -39,8 +41,12 @@ def by_hierarchy(features: DataFrame, cap: int, descending: bool = False) -> Dat
     return pack(rows, ["a"], [*finer, "chunk_id"], cap)
 
 
-def in_order(chunks: DataFrame, cap: int) -> DataFrame:
-    """All chunks packed by id."""
+def in_order(chunks: DataFrame, cap: int, dense: bool = False) -> DataFrame:
+    """All chunks packed by id; ``dense``: ids are 0, 1, ... without gaps, so that nothing has to move."""
+    if dense:
+        n = chunks.agg(F.count(F.lit(1))).first()[0]
+        first = F.floor(F.col("chunk_id") / cap) * cap
+        return chunks.select(first.cast("long").alias("grp"), "chunk_id", F.least(F.lit(cap), F.lit(n) - first).cast("long").alias("members"))
     return pack(chunks.select("chunk_id", F.lit(0).alias("key")), ["key"], ["chunk_id"], cap)
 
 
@@ -121,11 +127,10 @@ def first_fit(sizes: list[int], cap: int) -> list[int]:
     return out
 
 
-def _bins(batches: Iterator[pa.RecordBatch], cap: int, fit: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Packs the items of each key, which come in order.  Next fit keeps only the fill of one bin and first
-    fit the bins with room, so a key may have any number of items; best fit holds the items of a key of at most ``limit``."""
-    key = bin_ = None
-    fill, first = 0, FirstFit(cap)
+def _bins(batches: Iterator[pa.RecordBatch], cap: int, fit: str) -> Iterator[pa.RecordBatch]:
+    """Packs the items of each key, which come in order.  First fit keeps the bins with room, so a key may have any
+    number of items; best fit holds the items of a key."""
+    key, first = None, FirstFit(cap)
     held: list[tuple[int, int]] = []
 
     def flush() -> list[tuple[int, int]]:
@@ -142,35 +147,106 @@ def _bins(batches: Iterator[pa.RecordBatch], cap: int, fit: str, limit: int) ->
 
     for batch in batches:
         out: list[tuple[int, int]] = []
-        for k, item, size, items in zip(*(batch.column(c).to_pylist() for c in ("key", "item", "size", "items"))):
+        for k, item, size in zip(*(batch.column(c).to_pylist() for c in ("key", "item", "size"))):
             if k != key:
                 out += flush() if held else []
-                held, key, bin_, fill, first = [], k, None, 0, FirstFit(cap)
+                held, key, first = [], k, FirstFit(cap)
             if fit == "first":
                 out.append((item, first.add(item, size)))
-                continue
-            if fit == "best" and items <= limit:
+            else:
                 held.append((item, size))
-                continue
-            if bin_ is None or fill + size > cap:
-                bin_, fill = item, 0
-            out.append((item, bin_))
-            fill += size
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["item", "bin"])
     if held:
         out = flush()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["item", "bin"])
 
 
+def _next_fit_range(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    """Next fit over one range of the order (key, rank, item).  The first key may go on from the range before, so its items
+    are left open (``bin`` null); the last row (``item`` null) says how the range passes on the fill of a bin."""
+    part, at = TaskContext.get().partitionId(), 0
+    first = key = bin_ = None
+    fill, seen = 0, False
+    passed = {f: (f, None) for f in range(cap + 1)}  # fill at the start of the first key: fill and bin now
+    for batch in batches:
+        out: list[tuple] = []
+        for k, item, size in zip(*(batch.column(c).to_pylist() for c in ("key", "item", "size"))):
+            if not seen:
+                seen, first = True, k
+            if k == first:
+                for f, (old, b) in passed.items():
+                    passed[f] = (size, item) if old + size > cap else (old + size, b)
+                out.append((item, None, part, at, size, None))
+            else:
+                if k != key or fill + size > cap:
+                    bin_, fill = item, 0
+                fill += size
+                out.append((item, bin_, part, at, size, None))
+            key = k
+            at += 1
+        yield _range_rows(out)
+    if seen:
+        state = {"first": first, "last": key, "one": key == first, "fill": fill, "bin": bin_, "passed": [[f, *passed[f]] for f in passed]}
+        yield _range_rows([(None, None, part, at, None, json.dumps(state))])
+
+
+def _range_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["item", "bin", "part", "at", "size", "state"])
+
+
+def _go_on(table: pa.Table, cap: int) -> pa.Table:
+    """The open items of a range, from the fill and bin with which it starts."""
+    table = table.sort_by("at")
+    fill, bin_, out = table.column("fill")[0].as_py(), table.column("carried")[0].as_py(), []
+    for item, size in zip(table.column("item").to_pylist(), table.column("size").to_pylist()):
+        if fill + size > cap:
+            bin_, fill = item, 0
+        out.append(bin_)
+        fill += size
+    return pa.table({"item": table.column("item"), "bin": pa.array(out, pa.int64())})
+
+
+def next_fit_bins(items: DataFrame, cap: int) -> DataFrame:
+    """(item, bin) of next fit within each key.  Ranges of the order are packed at the same time, whatever share of the
+    items one key has: a range hands on a fill between 0 and ``cap``, so what it does to each possible fill (one row for a
+    range) is enough to tell where the next one starts."""
+    rows = items.select("key", "rank", "item", "size").repartitionByRange("key", "rank", "item").sortWithinPartitions("key", "rank", "item")
+    schema = "item long, bin long, part int, at long, size int, state string"
+    packed = written(rows.mapInArrow(lambda b: _next_fit_range(b, cap), schema), "next_fit")
+    starts, last, fill, bin_ = [], None, cap, None
+    for r in packed.where("item is null").select("part", "state").orderBy("part").collect():  # a row for each range
+        state = json.loads(r["state"])
+        if state["first"] != last or not starts:
+            fill, bin_ = cap, None
+        starts.append((r["part"], fill, bin_))
+        if state["one"]:
+            _, fill, opened = state["passed"][fill]
+            bin_ = bin_ if opened is None else opened
+        else:
+            fill, bin_ = state["fill"], state["bin"]
+        last = state["last"]
+    entry = F.broadcast(items.sparkSession.createDataFrame(starts, "part int, fill int, carried long"))
+    left = packed.where("item is not null and bin is null").join(entry, "part")
+    gone_on = left.groupBy("part").applyInArrow(lambda t: _go_on(t, cap), "item long, bin long")
+    return packed.where("bin is not null").select("item", "bin").unionByName(gone_on)
+
+
 def fit_bins(items: DataFrame, cap: int, fit: str = "next", limit: int = 1000) -> DataFrame:
     """(item, bin) for items (key, rank, item, size), packed within each key in the order of rank and item.
     ``fit``: "next", "best" (best-fit merges, then next fit; keys with more than ``limit`` items are packed by
-    next fit) or "first" (one rank only)."""
+    next fit) or "first" (one rank only).  Sizes are 1 to ``cap``."""
     prepare(items.sparkSession)
-    rows = items if fit != "best" else items.join(items.groupBy("key").agg(F.count(F.lit(1)).alias("items")), "key")
-    rows = rows.select("key", "rank", "item", "size", F.lit(0).cast("long").alias("items") if fit != "best" else "items")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "rank", "item")
-    return dealt.mapInArrow(lambda b: _bins(b, cap, fit, limit), "item long, bin long")
+    if fit == "next":
+        return next_fit_bins(items, cap)
+    large = None
+    if fit == "best":
+        hot = items.groupBy("key").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") > limit).select("key")
+        if not hot.isEmpty():
+            large, items = items.join(hot, "key", "left_semi"), items.join(hot, "key", "left_anti")
+    dealt = items.select("key", "rank", "item", "size").repartition("key").sortWithinPartitions("key", "rank", "item")
+    out = dealt.mapInArrow(lambda b: _bins(b, cap, fit), "item long, bin long")
+    return out if large is None else out.unionByName(next_fit_bins(large, cap))
 
 
 def regroup(groups: DataFrame, bins: DataFrame) -> DataFrame:

@@ -24,6 +24,14 @@ def size_report(compressed: DataFrame) -> DataFrame:
     return sums.withColumn("ratio", ratio("logical_size", "compressed_size"))
 
 
+def grouping_quality(groups: DataFrame) -> DataFrame:
+    """One row: groups (single chunks included), chunks, the share of chunks that are alone in percent, and the mean number of
+    chunks of a group."""
+    sizes = groups.groupBy("members").agg(F.count(F.lit(1)).alias("chunks"))  # a row for each size
+    sums = sizes.agg(F.round(F.sum(F.col("chunks") / F.col("members"))).cast("long").alias("groups"), F.sum("chunks").alias("chunks"), F.coalesce(F.sum(F.when(F.col("members") == 1, F.col("chunks"))), F.lit(0)).alias("alone"))
+    return sums.select("groups", "chunks", F.round(F.try_divide(100.0 * F.col("alone"), "chunks"), 1).alias("alone_percent"), F.round(F.try_divide("chunks", "groups"), 2).alias("mean_chunks"))
+
+
 def feature_counts(features: DataFrame) -> DataFrame:
     """Counts of the features: chunks, chunks without any sampled hash, distinct buckets."""
     zero = F.forall("features", lambda x: x == 0)

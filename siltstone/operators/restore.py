@@ -21,11 +21,14 @@ def decompressed(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     return chunk.select("chunk_id", F.substring(F.col("raw"), start + 1, F.get("s", F.col("at"))["size"]).alias("content"))
 
 
+def restored_parts(recipes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(file_id, seq, content) of every part of every file; no row holds more than a chunk."""
+    return recipes.join(chunks.select("chunk_id", "content"), "chunk_id").select("file_id", "seq", "content")
+
+
 def restored(recipes: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, length, sha256, content) of every file, from its recipe; files without chunks are empty.  A
-    file's chunks meet in one row, as its content must."""
-    rows = recipes.join(chunks.select("chunk_id", "content"), "chunk_id").select("file_id", "seq", "content")
-    whole = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("m"))
-    content = F.aggregate("m", F.lit(b""), lambda s, x: F.concat(s, x["content"]))
-    out = files.select("file_id").join(whole.select("file_id", content.alias("c")), "file_id", "left").select("file_id", F.coalesce("c", F.lit(b"")).alias("content"))
+    file's chunks meet in one row, as its content must; files of any size: ``restored_parts``."""
+    whole = restored_parts(recipes, chunks).groupBy("file_id").agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY seq)").alias("c"))
+    out = files.select("file_id").join(whole, "file_id", "left").select("file_id", F.coalesce("c", F.lit(b"")).alias("content"))
     return out.select("file_id", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"), "content")

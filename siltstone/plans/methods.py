@@ -24,13 +24,15 @@ from siltstone.sources.files import first_files
 class Corpus:
     """Files and what is derived from them; every part is computed once and written to the shared folder."""
 
-    def __init__(self, files: DataFrame, config: Config = Config()):
+    def __init__(self, files: DataFrame, config: Config = Config(), parts: DataFrame | None = None):
+        """``parts``: the files' content as ranges (file_id, start, content); without, files have it themselves."""
         self.config = config
         self.files = first_files(files, config.files)
+        self.parts = self.files if parts is None else parts.join(self.files.select("file_id"), "file_id", "left_semi")
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return written(dedup.with_fingerprint(chunking.chunks(self.files, self.config)), "chunks")
+        return written(dedup.with_fingerprint(chunking.chunks(self.parts, self.config)), "chunks")
 
     @cached_property
     def fingerprints(self) -> DataFrame:
@@ -47,7 +49,7 @@ class Corpus:
     @cached_property
     def all(self) -> DataFrame:
         """Every chunk with an id of its own (for methods without deduplication)."""
-        return dedup.numbered(self.chunks)  # likewise
+        return dedup.numbered(self.chunks)
 
     @cached_property
     def recipes(self) -> DataFrame:
@@ -151,7 +153,7 @@ def hsf_bib(c: Corpus) -> Grouped:
 
 
 def fp_only(c: Corpus) -> Grouped:
-    return _done(c, in_order(c.unique, c.config.cap), c.unique, c.recipes)
+    return _done(c, in_order(c.unique.select("chunk_id"), c.config.cap, dense=True), c.unique, c.recipes)
 
 
 def sf_nodedup(c: Corpus) -> Grouped:
@@ -292,15 +294,23 @@ class Run:
     def summary(self) -> DataFrame:
         return metrics.run_summary(self.compressed, metrics.dedup_summary(self.corpus.fingerprints), self.seconds)
 
+    def quality(self) -> DataFrame:
+        """One row: groups, the share of chunks that are alone, and the mean number of chunks of a group."""
+        return metrics.grouping_quality(self.grouped.groups)
+
     def restored(self) -> DataFrame:
         chunks = restore.decompressed(self.compressed, self.grouped.chunks)
         return restore.restored(self.grouped.recipes, chunks, self.corpus.files)
 
+    def restored_parts(self) -> DataFrame:
+        """The files as (file_id, seq, content), for files of any size."""
+        return restore.restored_parts(self.grouped.recipes, restore.decompressed(self.compressed, self.grouped.chunks))
+
 
-def run(files: DataFrame, method: str, config: Config = Config()) -> Run:
+def run(files: DataFrame, method: str, config: Config = Config(), parts: DataFrame | None = None) -> Run:
     """Chunks, groups and compresses files by a method of ``METHODS``."""
     began = time.monotonic()
-    corpus = Corpus(files, config)
+    corpus = Corpus(files, config, parts)
     grouped = METHODS[method](corpus)
     compressed = compress.laid_out(compress.compress_groups(grouped.groups, grouped.chunks))
     return Run(corpus, grouped, compressed, time.monotonic() - began)

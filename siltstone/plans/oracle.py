@@ -6,15 +6,19 @@ from siltstone.functions.gear import FEATURES, SAMPLE_MASKS, cut_parameters
 
 CHUNK = 1024
 
-CHUNKS = f"""
+def chunked(size: int = CHUNK) -> str:
+    """``files`` and ``chunks``."""
+    return f"""
 files AS (SELECT doc_id AS file_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
 chunks AS (
   SELECT file_id, seq, octet_length(c) AS size, c AS content, sha256(c) AS fp
-  FROM (SELECT file_id, s::INT AS seq, array_slice(b, s * {CHUNK} + 1, least((s + 1) * {CHUNK}, octet_length(b))) AS c
-        FROM files, unnest(range((octet_length(b) + {CHUNK - 1}) // {CHUNK})) AS t(s))
+  FROM (SELECT file_id, s::INT AS seq, array_slice(b, s * {size} + 1, least((s + 1) * {size}, octet_length(b))) AS c
+        FROM files, unnest(range((octet_length(b) + {size - 1}) // {size})) AS t(s))
 )"""
 
-UNIQUE = f"""{CHUNKS},
+def unique(size: int = CHUNK) -> str:
+    """``numbered`` and ``uniq``: chunks with ids, before and after deduplication."""
+    return f"""{chunked(size)},
 numbered AS (SELECT *, row_number() OVER (ORDER BY file_id, seq) - 1 AS chunk_id FROM chunks),
 uniq AS (
   SELECT row_number() OVER (ORDER BY file_id, seq) - 1 AS chunk_id, fp, file_id, seq, size, content
@@ -22,6 +26,9 @@ uniq AS (
 )"""
 
 
+CHUNKS, UNIQUE = chunked(), unique()
+
+
 NUMBER = "('0x' || substr(sha256({}), 1, 16))::UBIGINT::UHUGEINT"
 
 
@@ -52,20 +59,20 @@ def _features(source: str, p: str, sample_bits: int) -> str:
 {p}feat AS (SELECT u.chunk_id, {zero} FROM {source} u LEFT JOIN {p}best USING (chunk_id))"""
 
 
-def features(sample_bits: int = 2) -> str:
+def features(sample_bits: int = 2, size: int = CHUNK) -> str:
     """``feat``: chunk_id and the features f0, f1, ... as unsigned numbers."""
-    return f"{UNIQUE},\n{GEAR},\n{_features('uniq', '', sample_bits)}"
+    return f"{unique(size)},\n{GEAR},\n{_features('uniq', '', sample_bits)}"
 
 
 def _signed(x: str) -> str:
     return f"(CASE WHEN {x} >= 9223372036854775808::UHUGEINT THEN {x}::HUGEINT - 18446744073709551616::HUGEINT ELSE {x}::HUGEINT END)::VARCHAR"
 
 
-def keys(sample_bits: int = 2) -> str:
+def keys(sample_bits: int = 2, size: int = CHUNK) -> str:
     """``keyed``: chunk_id, sf0 to sf2, and the hierarchy a, b, c."""
     sf = ", ".join("md5(" + " || ',' || ".join(_signed(f"f{4 * i + j}") for j in range(4)) + f") AS sf{i}" for i in range(3))
     pad = "[" + ", ".join(f"lpad(f{j}::VARCHAR, 20, '0')" for j in range(FEATURES)) + "]"
-    return f"""{features(sample_bits)},
+    return f"""{features(sample_bits, size)},
 sorted AS (SELECT chunk_id, {sf}, list_sort({pad}) AS s FROM feat),
 keyed AS (SELECT chunk_id, sf0, sf1, sf2, s[12] AS a, md5(array_to_string(s[9:11], ',')) AS b, md5(array_to_string(s[1:8], ',')) AS c FROM sorted)"""
 
@@ -108,17 +115,17 @@ best_inner AS (SELECT chunk_id, s, e FROM hashed WHERE inner_ QUALIFY row_number
 reps AS (SELECT l.chunk_id, coalesce(b.s, l.s) AS s, coalesce(b.e, l.e) AS e FROM largest l LEFT JOIN best_inner b USING (chunk_id))"""
 
 
-def rebinned() -> str:
+def rebinned(sample_bits: int = 2, size: int = CHUNK, average: int = 256) -> str:
     """``first_`` and ``third``: groups (grp, chunk_id, members) of the ranked hierarchy, before and after leftovers are
     put together by their representatives."""
-    return f"""{keys()}, {packed('a', 'b DESC, c DESC, chunk_id')},
+    return f"""{keys(sample_bits, size)}, {packed('a', 'b DESC, c DESC, chunk_id')},
 grouped AS (SELECT grp, chunk_id, members FROM packs WHERE members > 1),
 first_ AS (SELECT * FROM grouped UNION ALL SELECT chunk_id, chunk_id, 1 FROM uniq WHERE chunk_id NOT IN (SELECT chunk_id FROM grouped)),
-{cuts()},
+{cuts(average)},
 {representative('min_hash')},
 subs AS (SELECT r.chunk_id, array_slice(u.content, s + 1, e) AS content FROM reps r JOIN uniq u USING (chunk_id)
          WHERE chunk_id IN (SELECT grp FROM first_ WHERE members < 8)),
-{_features('subs', 's_', 2)},
+{_features('subs', 's_', sample_bits)},
 items AS (SELECT f.grp AS item, any_value(f.members) AS size, any_value(md5({" || ',' || ".join(_signed(f"k.f{j}") for j in range(4))})) AS key
           FROM first_ f JOIN s_feat k ON k.chunk_id = f.grp WHERE members < 8 GROUP BY f.grp),
 seq_ AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY size > 1, item) AS n FROM items),
@@ -149,7 +156,7 @@ SQL: dict[str, str] = {
     "D2_duplicates": f"WITH {UNIQUE} SELECT n.chunk_id, m.first_id FROM numbered n JOIN (SELECT fp, min(chunk_id) AS first_id FROM numbered GROUP BY fp) m USING (fp) WHERE n.chunk_id <> m.first_id",
     "D3_occurrence_histogram": f"WITH {CHUNKS} SELECT occurrences, count(*) AS frequency FROM (SELECT fp, count(*) AS occurrences FROM chunks GROUP BY fp) GROUP BY occurrences",
     "D4_dense_ids": f"WITH {UNIQUE} SELECT file_id, seq, chunk_id FROM numbered",
-    "I1_fp_index": f"WITH {UNIQUE} SELECT fp, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS chunk_ids FROM numbered GROUP BY fp",
+    "I1_fp_index": f"WITH {UNIQUE} SELECT fp, row_number() OVER (PARTITION BY fp ORDER BY chunk_id) - 1 AS place, chunk_id FROM numbered",
     "F4_features": f"WITH {features()} SELECT chunk_id, " + ", ".join(f"f{j}::VARCHAR AS f{j}" for j in range(FEATURES)) + " FROM feat",
     "F7_F8_keys": f"WITH {keys()} SELECT * FROM keyed",
     "I2_first_key_index": f"WITH {keys()} SELECT sf0 AS key, count(*) AS members FROM keyed GROUP BY sf0",
@@ -164,9 +171,8 @@ SELECT k.chunk_id, arg_min(h.other, h.pos) AS similar_id FROM keyed k LEFT JOIN
 hits AS (SELECT x.chunk_id, x.pos, max(y.chunk_id) AS other FROM probe x JOIN probe y ON x.pos = y.pos AND x.key = y.key AND x.chunk_id <> y.chunk_id GROUP BY ALL)
 SELECT k.chunk_id, arg_min(h.other, h.pos) AS similar_id FROM keyed k LEFT JOIN hits h USING (chunk_id) GROUP BY k.chunk_id""",
     "I9_features_by_bucket_size": f"WITH {features()}, flat AS ({_FLAT}) SELECT feature::VARCHAR AS feature, count(*) AS members FROM flat GROUP BY feature",
-    "I10_cooccurrence": f"""WITH {features()}, flat AS ({_FLAT}),
-pairs AS (SELECT x.feature AS f1, y.feature AS f2, count(*) AS chunks FROM flat x JOIN flat y ON x.chunk_id = y.chunk_id AND x.feature <> y.feature GROUP BY ALL)
-SELECT chunks, count(*) AS pairs FROM pairs GROUP BY chunks""",
+    "I10_cooccurrence": f"""WITH {features()}, flat AS (SELECT chunk_id, {_signed('feature')}::BIGINT AS f FROM ({_FLAT}))
+SELECT x.f AS f1, y.f AS f2, count(*) AS chunks FROM flat x JOIN flat y ON x.chunk_id = y.chunk_id AND x.f <> y.f GROUP BY ALL""",
     "A7_feature_counts": f"""WITH {keys()} SELECT count(*) AS chunks, count(*) FILTER (a = repeat('0', 20)) AS zero_chunks, count(DISTINCT sf0) AS first_keys, count(DISTINCT a) AS max_features FROM keyed""",
     "G1_by_first_key": f"WITH {keys()}, {packed('sf0', 'chunk_id')} SELECT grp, chunk_id, members FROM packs WHERE members > 1",
     "G2_by_hierarchy": f"WITH {keys()}, {packed('a', 'b, c, chunk_id')} SELECT grp, chunk_id, members FROM packs WHERE members > 1",
@@ -206,18 +212,19 @@ SELECT sum(n)::BIGINT AS total_chunks, count(*) AS unique_chunks, sum(n * size):
     "J3_recipe_sizes": f"""WITH {UNIQUE} SELECT c.file_id, sum(u.size)::BIGINT AS length, count(*) AS chunks FROM chunks c JOIN uniq u USING (fp) GROUP BY c.file_id""",
     "J4_never_repeated": f"WITH {CHUNKS} SELECT file_id, seq FROM chunks WHERE fp NOT IN (SELECT fp FROM chunks GROUP BY fp HAVING count(*) > 1)",
     "J5_repeated": f"WITH {CHUNKS} SELECT file_id, seq FROM chunks WHERE fp IN (SELECT fp FROM chunks GROUP BY fp HAVING count(*) > 1)",
-    "J8_theta_pairs": "SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey",
+    "J8_theta_pairs": f"""WITH {UNIQUE}, few AS (SELECT chunk_id, size FROM uniq WHERE chunk_id < 1024)
+SELECT i.chunk_id AS i, count(*) AS pairs, max(j.size) AS largest FROM few i JOIN few j ON i.chunk_id < j.chunk_id AND i.size < j.size GROUP BY i.chunk_id""",
     "A8_collected_sets": "SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, count(*) AS n FROM lineitem GROUP BY l_suppkey",
     "A10_extremes": f"""WITH {CHUNKS} SELECT file_id, arg_min(seq, fp) AS min_hash_seq, min(fp) AS min_hash, arg_max(seq, size * 100000 - seq) AS largest_seq FROM chunks GROUP BY file_id""",
-    "U1_U4_sets": f"""WITH {CHUNKS}, s AS (SELECT DISTINCT source, fp FROM chunks JOIN documents ON file_id = doc_id),
-a AS (SELECT fp FROM s WHERE source = 'src0'), b AS (SELECT fp FROM s WHERE source = 'src1')
-SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b)
-UNION ALL SELECT 'append', count(*) FROM (SELECT * FROM a UNION ALL SELECT * FROM b)
-UNION ALL SELECT 'difference', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
-UNION ALL SELECT 'intersection', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""",
+    "U1_U4_sets": f"""WITH {CHUNKS}, s AS (SELECT DISTINCT md5(coalesce(source, '')) < '8' AS low, fp FROM chunks JOIN documents ON file_id = doc_id),
+a AS (SELECT fp FROM s WHERE low), b AS (SELECT fp FROM s WHERE NOT low)
+SELECT 'union' AS op, fp FROM (SELECT * FROM a UNION SELECT * FROM b)
+UNION ALL SELECT 'append', fp FROM (SELECT * FROM a UNION ALL SELECT * FROM b)
+UNION ALL SELECT 'difference', fp FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+UNION ALL SELECT 'intersection', fp FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""",
     "E_functions": """SELECT page_id, string_split(url, '/')[-1] AS basename, lower(hex(encode(url)))[1:16] AS head, ceil(octet_length(encode(html)) / 1000.0)::BIGINT AS blocks,
 least(greatest(page_id, 10), 100) AS clamped, round(log2(page_id + 1))::INT AS bits, (page_id << 3) & 255 AS masked FROM pages""",
-    "O8_top_pairs": f"""WITH {features()}, flat AS ({_FLAT} WHERE chunk_id < 96)
+    "O8_top_pairs": f"""WITH {features()}, flat AS ({_FLAT})
 SELECT a.chunk_id AS i, b.chunk_id AS j, count(*) AS shared FROM flat a JOIN flat b ON a.feature = b.feature AND a.chunk_id < b.chunk_id GROUP BY ALL ORDER BY shared DESC, i, j LIMIT 20""",
     "W_places": f"WITH {CHUNKS} SELECT file_id, seq, row_number() OVER (PARTITION BY size ORDER BY file_id, seq) - 1 AS place FROM chunks",
     "I8_probe": f"""WITH {keys()}, probe AS ({_PROBE}), index_ AS (SELECT pos, key, min(chunk_id) AS other FROM probe GROUP BY ALL)
@@ -299,3 +306,38 @@ SELECT p.chunk_id AS file_id, p.seq, e - s AS size, sha256(array_slice(w.content
 
 RESTORED = "SELECT doc_id AS file_id, octet_length(encode(text)) AS length, sha256(encode(text)) AS sha256 FROM documents"
 SQL |= {f"T4_restore_{m}": RESTORED for m in ("lz4", "sf", "hsf", "hsf_rank", "hsf_rank_bib", "sf_bib", "hsf_bib", "sf_nodedup", "fp_sf", "fp_affinity", "fp_only")}
+
+_RANKED = f"""{keys()}, {packed('a', 'b DESC, c DESC, chunk_id')},
+grouped AS (SELECT grp, chunk_id, members FROM packs WHERE members > 1),
+groups_ AS (SELECT * FROM grouped UNION ALL SELECT chunk_id, chunk_id, 1 FROM uniq WHERE chunk_id NOT IN (SELECT chunk_id FROM grouped))"""
+
+SQL["P2_group_recipes"] = f"""WITH {_RANKED}
+SELECT dense_rank() OVER (ORDER BY grp) - 1 AS group_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS chunk_ids, sum(size)::INT AS orig_size
+FROM groups_ JOIN uniq USING (chunk_id) GROUP BY grp"""
+SQL["G4_default_parameters"] = f"WITH RECURSIVE {rebinned(5, 8192, 2048)} SELECT * FROM third"
+SQL["F7_sorted_super_features"] = (
+    f"WITH {keys()} SELECT chunk_id, array_to_string(["
+    + ", ".join("md5(" + " || ',' || ".join(_signed(f"s[{4 * i + j + 1}]::UHUGEINT") for j in range(4)) + ")" for i in range(3))
+    + "], ',') AS keys FROM sorted"
+)
+
+
+def _last_similar(keyed: str) -> str:
+    return f"""WITH kk AS ({keyed}), probe AS (SELECT chunk_id, unnest([0, 1, 2]) AS pos, unnest(string_split(keys, ',')) AS key FROM kk),
+hits AS (SELECT x.chunk_id, x.pos, max(y.chunk_id) AS other FROM probe x JOIN probe y ON x.pos = y.pos AND x.key = y.key AND x.chunk_id <> y.chunk_id GROUP BY ALL)
+SELECT k.chunk_id, arg_min(h.other, h.pos) AS similar_id FROM kk k LEFT JOIN hits h USING (chunk_id) GROUP BY k.chunk_id"""
+
+
+SQL |= {"I11_last_similar_by_ntransform": _last_similar(ntransform()), "I12_last_similar_by_finesse": _last_similar(finesse())}
+
+
+def _quality(method: str, groups: str) -> str:
+    return f"""SELECT '{method}' AS method, sum(1.0 / members)::DOUBLE AS g, count(*) AS chunks, count(*) FILTER (members = 1) AS alone FROM ({groups})"""
+
+
+_PACKED = "SELECT members FROM packs"  # packs of one are groups, too
+SQL["A5_grouping_quality"] = f"""SELECT method, round(g)::BIGINT AS groups, chunks, round(100.0::DOUBLE * alone / chunks, 1) AS alone_percent, round(chunks::DOUBLE / round(g), 2) AS mean_chunks FROM (
+{_quality('sf', f"WITH {keys()}, {packed('sf0', 'chunk_id')} {_PACKED}")}
+UNION ALL {_quality('hsf', f"WITH {keys()}, {packed('a', 'b, c, chunk_id')} {_PACKED}")}
+UNION ALL {_quality('hsf_rank', f"WITH {keys()}, {packed('a', 'b DESC, c DESC, chunk_id')} {_PACKED}")}
+UNION ALL {_quality('hsf_rank_bib', f"WITH RECURSIVE {rebinned()} SELECT members FROM third")})"""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
 from siltstone.functions.arrow import cut_ends, finesse_features, ntransform_features
-from siltstone.functions.keys import strided_super_features, unsigned
+from siltstone.functions.keys import strided_super_features, super_features, unsigned, xxh64
 from siltstone.operators import chunking, compress, dedup, grouping, metrics, represent, similar
 from siltstone.operators.ids import dense_id, places
 from siltstone.plans.methods import METHODS, Corpus, run
@@ -129,7 +130,7 @@ def _(c):
 
 @on_corpus("I1_fp_index")
 def _(c):
-    return dedup.fp_index(c.all).select("fp", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
+    return dedup.fp_index(c.all).select("fp", "place", "chunk_id")
 
 
 # Features and indexes
@@ -211,7 +212,35 @@ def _(c):
 
 @on_corpus("I10_cooccurrence")
 def _(c):
-    return similar.cooccurrence(c.features).groupBy("chunks").agg(F.count(F.lit(1)).alias("pairs"))
+    return similar.cooccurrence(c.features)
+
+
+@on_corpus("F7_sorted_super_features")
+def _(c):
+    keys = super_features(F.col("features"), sort=True)
+    return c.features.select("chunk_id", F.array_join(keys, ",").alias("keys"))
+
+
+@on_corpus("F2_xxh64_keys")
+def _(c):
+    keys = super_features(F.col("features"), key=xxh64)
+    return c.features.select("chunk_id", *(F.get(keys, k).alias(f"key{k}") for k in range(3)))
+
+
+def _last_similar(c: Corpus, features: Column, keys: Callable[[Column], Column]) -> DataFrame:
+    prepare(c.unique.sparkSession)
+    f = c.unique.select("chunk_id", features.alias("f"))
+    return similar.similar_record(written(f.select("chunk_id", keys(F.col("f")).alias("sf")), "keys"), last=True)
+
+
+@on_corpus("I11_last_similar_by_ntransform")
+def _(c):
+    return _last_similar(c, ntransform_features(F.col("content")), lambda f: strided_super_features(F.transform(f, lambda x: x.bitwiseAND(0xFFFFFFFF))))
+
+
+@on_corpus("I12_last_similar_by_finesse")
+def _(c):
+    return _last_similar(c, finesse_features(F.col("content")), lambda f: strided_super_features(f, sort=True))
 
 
 @on_corpus("A7_feature_counts")
@@ -252,6 +281,19 @@ QUERIES |= {
 }
 
 
+@query("A5_grouping_quality")
+def _(spark, sf_dir):
+    """Groups, lonely chunks and mean sizes of the four grouping methods."""
+    c = corpus(spark, sf_dir)
+    return reduce(DataFrame.unionAll, (metrics.grouping_quality(METHODS[m](c).groups).select(F.lit(m).alias("method"), "*") for m in ("sf", "hsf", "hsf_rank", "hsf_rank_bib")))
+
+
+@query("G4_default_parameters")
+def _(spark, sf_dir):
+    """The flagship's groups with the parameters for large files: chunks of 8 KiB, a 32nd of the hashes."""
+    return METHODS["hsf_rank_bib"](Corpus(files(spark, sf_dir), Config())).groups
+
+
 @query("G6_next_fit")
 def _(spark, sf_dir):
     """Line items as items of 1 to 7, in bins of 8 for each supplier."""
@@ -295,6 +337,13 @@ def _(spark, sf_dir):
     return got.select("group_id", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"), "orig_size", "comp_size", "comp_offset", "codec")
 
 
+@query("P2_group_recipes")
+def _(spark, sf_dir):
+    """The groups as they are compressed: their chunks in order, their bytes before."""
+    got = _run("hsf_rank")(spark, sf_dir).compressed
+    return got.select("group_id", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"), "orig_size")
+
+
 @query("A6_size_report")
 def _(spark, sf_dir):
     return _run("hsf_rank")(spark, sf_dir).report()
@@ -357,11 +406,14 @@ def _(c):
     return c.fingerprints.join(_repeated(c), "fp", "left_semi").select("file_id", "seq")
 
 
-@query("J8_theta_pairs")
-def _(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    a, b = nation.select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("r")), nation.select(F.col("n_nationkey").alias("j"), F.col("n_regionkey").alias("r"))
-    return a.join(b, "r").where("i < j").select("i", "j")
+@on_corpus("J8_theta_pairs")
+def _(c):
+    """The pairs i < j of the chunks that the greedy method looks at (their number is its limit), i being the smaller one:
+    for each i, how many there are and the bytes of the largest j."""
+    limit = Config().greedy_limit
+    few = F.broadcast(c.unique.where(F.col("chunk_id") < limit).select("chunk_id", "size"))
+    i, j = few.select(F.col("chunk_id").alias("i"), F.col("size").alias("a")), few.select(F.col("chunk_id").alias("j"), F.col("size").alias("b"))
+    return i.join(j, (F.col("i") < F.col("j")) & (F.col("a") < F.col("b"))).groupBy("i").agg(F.count(F.lit(1)).alias("pairs"), F.max("b").alias("largest"))
 
 
 @query("A8_collected_sets")
@@ -379,14 +431,12 @@ def _(c):
 def _(spark, sf_dir):
     c = corpus(spark, sf_dir)
     sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "source")
-    s = written(c.fingerprints.join(sources, "file_id").select("source", "fp").distinct(), "sets")
-    a, b = (s.where(F.col("source") == x).select("fp") for x in ("src0", "src1"))
+    # two halves of the sources, by a hash
+    half = F.when(F.md5(F.coalesce("source", F.lit("")).cast("binary")) < "8", 0).otherwise(1)
+    s = written(c.fingerprints.join(sources, "file_id").select(half.alias("half"), "fp").distinct(), "sets")
+    a, b = (s.where(F.col("half") == x).select("fp") for x in (0, 1))
     ops = {"union": a.union(b).distinct(), "append": a.union(b), "difference": a.subtract(b), "intersection": a.intersect(b)}
-    out = None
-    for name, rows in ops.items():
-        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("op"), "n")
-        out = one if out is None else out.union(one)
-    return out
+    return reduce(DataFrame.unionAll, (rows.select(F.lit(name).alias("op"), "fp") for name, rows in ops.items()))
 
 
 @query("E_functions")

@@ -4,14 +4,16 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from siltstone import cli
 from siltstone.config import Config
-from siltstone.operators import chunking, compress, dedup, grouping, metrics, represent, similar
+from siltstone.functions.keys import random_id, super_features, xxh64
+from siltstone.operators import chunking, compress, dedup, grouping, metrics, represent, restore, similar
 from siltstone.operators.ids import dense_id, places
 from siltstone.plans.methods import METHODS, Corpus, run
 from siltstone.plans.oracle import SQL
 from siltstone.plans.queries import QUERIES
 from siltstone.sources import sinks
-from siltstone.sources.files import byte_ranges, files_from_dir, files_from_table, first_files, natural_key
+from siltstone.sources.files import byte_ranges, files_from_dir, files_from_table, files_in_ranges, first_files, natural_key
 from siltstone.streaming.ingest import Index, ingest
 
 SMALL = Config(chunk_size=64, sub_avg=16, sample_bits=0, greedy_limit=40)
@@ -195,6 +197,94 @@ def test_directories_ranges_and_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "histogram")).count() == 2 * out.histogram().count()
 
 
+def test_large_files_in_ranges(spark, tmp_path):
+    """A file over many ranges, through a method and back, byte for byte; by the command line, too."""
+    data = {"a/big.bin": content(1, 5000) + content(1, 3000), "a/b/f10": content(2, 64 * 7), "f2": content(3, 65), "empty": b"", "one": b"x"}
+    for name, raw in data.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(raw)
+    files, parts = files_in_ranges(spark, str(tmp_path / "in"), 64, size=300)
+    assert [r.path.rsplit("/", 1)[1] for r in files.orderBy("file_id").collect()] == ["f10", "big.bin", "empty", "f2", "one"]
+    assert parts.groupBy("file_id").count().agg(F.max("count")).first()[0] == 32
+    got = run(files, "hsf_rank_bib", SMALL, parts)
+    pieces = {}
+    for r in got.restored_parts().collect():
+        pieces.setdefault(r.file_id, []).append((r.seq, bytes(r.content)))
+    names = {r.file_id: r.path.split("/in/")[1] for r in files.collect()}
+    assert {names[k]: b"".join(c for _, c in sorted(v)) for k, v in pieces.items()} == {n: c for n, c in data.items() if c}
+    whole = {names[r.file_id]: bytes(r.content) for r in got.restored().collect()}
+    assert whole == data
+    with pytest.raises(ValueError):
+        Corpus(files, SMALL.but(chunking="cdc"), parts).chunks
+    cli.execute(spark, cli.parsed(["-i", str(tmp_path / "in"), "-m", "4", "-k", "64", "-s", "16", "-d", "1", "-r", "-o", str(tmp_path / "out")]))
+    back = {str(p.relative_to(tmp_path / "out/restored")).split("/in/")[1]: p.read_bytes() for p in (tmp_path / "out/restored").rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert back == data
+    for name in ("groups/hsf_rank_bib", "summary", "report", "histogram", "containers"):
+        assert any((tmp_path / "out" / name).iterdir()), name
+    kept = sinks.read_chunks(spark, str(tmp_path / "out/containers"))
+    c = Corpus(files, SMALL, parts)
+    assert {names[r.file_id]: bytes(r.content) for r in restore.restored(c.recipes, kept, files).collect()} == data
+    assert cli.parsed(["-i", "x", "-o", "y", "-m", "fp_only", "-c", "1", "-n", "3"]).method == "fp_only"
+    for wrong in (["-i", "x", "-o", "y", "-m", "99"], ["-i", "x", "-o", "y", "-c", "2"]):
+        with pytest.raises(SystemExit):
+            cli.parsed(wrong)
+
+
+def test_next_fit_of_a_hot_key(spark):
+    """One key holds nine tenths of the items, over many ranges; every bin is that of a single pass."""
+    import random
+
+    rng = random.Random(3)
+    items = [("hot" if rng.random() < 0.9 else f"k{rng.randrange(30)}", rng.randrange(2), k, rng.randrange(1, 9)) for k in range(3000)]
+    df = spark.createDataFrame(items, "key string, rank int, item long, size int").repartition(3)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            for fit, limit in (("next", 1000), ("best", 100)):
+                got = {r.item: r.bin for r in grouping.fit_bins(df, 8, fit, limit).collect()}
+                want = {}
+                for key in {i[0] for i in items}:
+                    own = sorted((r, k, n) for x, r, k, n in items if x == key)
+                    if fit == "best" and len(own) <= limit:
+                        continue
+                    for (_, k, _), b in zip(own, grouping.next_fit([n for _, _, n in own], 8)):
+                        want.setdefault((key, b), []).append(k)
+                for members in want.values():
+                    assert {got[k] for k in members} == {members[0]}
+                assert got.keys() == {k for _, _, k, _ in items}
+        assert grouping.fit_bins(df.limit(0), 8).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_keys_and_ids(spark):
+    import struct
+
+    import xxhash
+
+    rows = [([5, -1, 3, 2**62, 7, 7, -9, 0, 1, 2, 3, 4],), (list(range(12)),)]
+    df = spark.createDataFrame(rows, "f array<long>")
+    got = df.select("f", super_features(F.col("f"), key=xxh64).alias("x"), super_features(F.col("f"), sort=True, key=xxh64).alias("s"), super_features(F.col("f"), per=1).alias("one")).collect()
+    for r in got:
+        ordered = sorted(r.f, key=lambda v: v % 2**64)
+        for k in range(3):
+            for keys, values in ((r.x, r.f), (r.s, ordered)):
+                want = xxhash.xxh64_intdigest(struct.pack("<4q", *values[4 * k : 4 * k + 4]), 42)
+                assert keys[k] % 2**64 == want
+        assert r.one == [f"{v % 2**64:020d}" for v in r.f]
+    ids = [r[0] for r in spark.range(50).select(random_id(7)).collect()]
+    assert len(set(ids)) == 50 and ids == [r[0] for r in spark.range(50).select(random_id(7)).collect()]
+    assert spark.range(50).select(random_id().alias("u")).distinct().count() == 50
+
+
+def test_grouping_quality(spark):
+    groups = spark.createDataFrame([(1, 1, 2), (1, 2, 2), (3, 3, 1), (4, 4, 1)], "grp long, chunk_id long, members long")
+    assert tuple(metrics.grouping_quality(groups).first()) == (3, 4, 50.0, 1.33)
+
+
 def test_stream_in_batches_and_replay(spark, tmp_path, files):
     rows = files.select("file_id", "content").orderBy("file_id").collect()
     index = Index(spark, str(tmp_path / "index"))

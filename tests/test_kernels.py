@@ -159,9 +159,36 @@ def test_first_fit_of_a_key_of_any_size():
 
     rng = random.Random(7)
     sizes = [rng.randrange(1, 16) for _ in range(3000)]
-    items = (1 << 20) + 1  # as a bucket of more than a million says
-    columns = {"key": ["k"] * 3000, "item": list(range(3000)), "size": sizes, "items": [items] * 3000}
+    columns = {"key": ["k"] * 3000, "item": list(range(3000)), "size": sizes}
     batches = pa.Table.from_pydict(columns).to_batches(max_chunksize=700)
-    got = [b for batch in _bins(iter(batches), 16, "first", 1 << 20) for b in batch.column("bin").to_pylist()]
+    got = [b for batch in _bins(iter(batches), 16, "first") for b in batch.column("bin").to_pylist()]
     bins = first_fit(sizes, 16)
     assert got == [bins.index(b) for b in bins]
+
+
+def test_containers_of_blocks_of_ranges():
+    """Tables of ranges, put together, say the same as one pass over all sizes."""
+    import random
+
+    from siltstone.operators.compress import _composed, _passed, _run, _starts, _tables, _transitions
+
+    rng = random.Random(9)
+    for _ in range(200):
+        limit = rng.choice([10, 40, 1000])
+        ranges = [[rng.randrange(1, 10) for _ in range(rng.randrange(1, 12))] for _ in range(rng.randrange(1, 7))]
+        parts = []
+        for p, sizes in enumerate(ranges):
+            t = _transitions(pa.table({"_part": pa.array([p] * len(sizes), pa.int32()), "_at": list(range(len(sizes))), "size": sizes}), limit)
+            parts.append(t.append_column("block", pa.array([0] * len(t), pa.int32())))
+        table = pa.concat_tables(parts)
+        block = _tables(zip(*(_composed(table).column(c).to_pylist() for c in ("block", "entry", "opened", "fill"))))[0]
+        for fill in {0, limit, rng.randrange(limit + 1)}:
+            whole = [n for sizes in ranges for n in sizes]
+            bins, _, end = _run(whole, fill, limit)
+            assert _passed(block, fill) == (bins[-1], end)
+            started = _starts(table.append_column("c", pa.array([5] * len(table))).append_column("f", pa.array([fill] * len(table))))
+            before = 0
+            for row, sizes in zip(started.to_pylist(), ranges):
+                bins, _, now = _run(whole[:before], fill, limit)
+                assert (row["c"], row["f"]) == (5 + (bins[-1] if bins else 0), now)
+                before += len(sizes)
