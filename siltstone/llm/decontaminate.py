@@ -2,16 +2,19 @@
 
 The patterns are windows of 13 consecutive words of the items (an item with fewer is one pattern).  For
 each pattern length there is a table of shifts, indexed by a hash of the last two words seen: how
-far the search may move on without missing an occurrence.  Where the shift is 0, the suffix hash
-selects a bucket of patterns, and words are compared directly.  The search runs many cursors in
+far the search may move on without missing an occurrence.  Where the shift is 0, the hashes of the suffix and the
+prefix select a bucket of patterns, and words are compared directly.  The search runs many cursors in
 lockstep, one for each stretch of 64 words, so that numpy does the shifting.
 
-The pattern tables are broadcast while the items have at most ``ITEM_BYTES`` of text; beyond that the
-items are searched in slices of that size, one pass after the other, each adding to the hits of the
-previous one.
+Patterns are places in the items' words, 24 bytes each, and the table of shifts grows with their number (8 to 16
+slots each).  Tables are broadcast for items of at most ``ITEM_BYTES`` of distinct text, and take about ten times
+that; beyond it the items are searched in slices of that size, one pass after the other, each adding to the
+hits of the previous one.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no
-windows; repeated items both count; an empty benchmark gives no hits.
+windows; items with equal texts are searched once, and all their ids are found; rows of equal id are one item; words of
+an item without an id are hit, but the item is not listed; an empty benchmark gives no hits; an empty table
+gives an empty one; columns with the results' names are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -25,17 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import bounded_batches, read_table, steps, text_bytes
-from siltstone.llm.words import Words, words_of
+from siltstone.llm.common import bounded_batches, mix64, read_table, steps, text_bytes, written
+from siltstone.llm.words import Words
 
 WINDOW = 13
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 16 << 20
 STRETCH = 64
-TABLE_BITS = 18
-
-
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
@@ -46,34 +44,48 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 
 
 class Patterns:
-    """Shift table and suffix buckets of patterns of one length (in words)."""
+    """Shift table and buckets of patterns of one length (in words).  A pattern is the place of its first word in
+    ``words``, the words of all items; ``item`` tells the item of each."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[int]]):
+    def __init__(self, length: int, words: Words, start: np.ndarray, item: np.ndarray):
         self.length, self.block = length, min(2, length)
-        self.words = list(patterns)
-        self.items = [sorted(patterns[p]) for p in self.words]
-        blob = b" ".join(w for p in self.words for w in p)
-        h = Words(np.frombuffer(blob, np.uint8), np.array([0, len(blob)])).hash.reshape(-1, length)
-        self.hash = h
-        self.shift = np.full(1 << TABLE_BITS, length - self.block + 1, np.int8 if length < 100 else np.int32)
+        self.raw, self.word_start, self.word_end = words.lower, words.start, words.end  # shared by all lengths
+        self.hash = words.hash
+        codes = self.code(words.hash)
+        # a pattern that an item has several times counts once
+        whole = np.zeros(len(start), np.uint64)
+        for k in range(length):
+            whole = mix64(whole + words.hash[start + k]) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.lexsort((item, whole))
+        new = np.ones(len(order), bool)
+        new[1:] = (whole[order][1:] != whole[order][:-1]) | (item[order][1:] != item[order][:-1])
+        start, item = start[order[new]], item[order[new]]
+        self.bits = min(26, max(12, int(8 * max(1, len(start))).bit_length()))
+        self.shift = np.full(1 << self.bits, length - self.block + 1, np.int8 if length < 100 else np.int32)
         for end in range(self.block, length + 1):
-            codes = _slot(self.code(h[:, :end].ravel())[end - 1 :: end])
-            np.minimum.at(self.shift, codes, length - end)
-        self.suffix = self.code(h.ravel())[length - 1 :: length]
-        self.order = np.argsort(self.suffix, kind="stable")
-        self.sorted_suffix = self.suffix[self.order]
+            np.minimum.at(self.shift, self.slot(codes[start + end - 1]), length - end)
+        key = self.key(codes, start)
+        order = np.argsort(key, kind="stable")
+        self.sorted_key, self.start, self.item = key[order], start[order].astype(np.int32), item[order].astype(np.int32)
+
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def code(self, h: np.ndarray) -> np.ndarray:
         return _pairs(h) if self.block == 2 else h * np.uint64(0xC4CEB9FE1A85EC53)
 
+    def key(self, codes: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Hash of the suffix and the prefix of the patterns that would start there."""
+        return codes[start + self.length - 1] + codes[start + self.block - 1] * np.uint64(0x9E3779B97F4A7C15)
+
     def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Starts (in words) of occurrences, and the pattern of each; never across two texts."""
+        """Starts (in words) of occurrences, and the item of each; never across two texts."""
         n, m = len(words), self.length
         none = np.zeros(0, np.int64)
         if n < m:
             return none, none
         codes = self.code(words.hash)
-        shift_at = self.shift[_slot(codes)]  # by the word that ends the block
+        shift_at = self.shift[self.slot(codes)]  # by the word that ends the block
         at = np.arange(m - 1, n, STRETCH)
         stop = np.minimum(at + STRETCH, n)
         found = []
@@ -89,34 +101,38 @@ class Patterns:
             return none, none
         end = np.sort(np.concatenate(found))
         start = end - m + 1
-        text_end = np.searchsorted(words.first, end, "right")
-        inside = np.searchsorted(words.first, start, "right") == text_end
-        end, start = end[inside], start[inside]
-        lo = np.searchsorted(self.sorted_suffix, codes[end], "left")
-        size = np.searchsorted(self.sorted_suffix, codes[end], "right") - lo
-        place = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        start, which = np.repeat(start, size), self.order[place]
-        same = np.ones(len(start), bool)
-        for k in range(m):
-            same &= words.hash[start + k] == self.hash[which, k]
-        start, which = start[same], which[same]
-        ok = np.array([self._equal(words, s, w) for s, w in zip(start, which)], bool)
-        return start[ok], which[ok]
-
-    def _equal(self, words: Words, start: int, which: int) -> bool:
+        inside = np.searchsorted(words.first, start, "right") == np.searchsorted(words.first, end, "right")
+        start = start[inside]
+        key = self.key(codes, start)
+        lo = np.searchsorted(self.sorted_key, key, "left")
+        size = np.searchsorted(self.sorted_key, key, "right") - lo
+        which = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        start = np.repeat(start, size)
+        for k in range(m):  # most of what is left of a bucket goes with the first words
+            same = words.hash[start + k] == self.hash[self.start[which] + k]
+            start, which = start[same], which[same]
+        ok = np.array([self._equal(words, s, w) for s, w in zip(start.tolist(), self.start[which].tolist())], bool)
+        return start[ok], self.item[which[ok]]
+
+    def _equal(self, words: Words, start: int, own: int) -> bool:
         return all(
-            words.lower[words.start[start + k] : words.end[start + k]].tobytes() == w for k, w in enumerate(self.words[which])
+            words.lower[words.start[start + k] : words.end[start + k]].tobytes() == self.raw[self.word_start[own + k] : self.word_end[own + k]].tobytes() for k in range(self.length)
         )
 
 
-def build(items: list[tuple[int, str | None]], window: int = WINDOW) -> list[Patterns]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
-    for k, (_, text) in enumerate(items):
-        words = words_of((text or "").encode())
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set()).add(k)
-    return [Patterns(m, p) for m, p in sorted(by_length.items())]
+def build(texts: list[str | None], window: int = WINDOW) -> list[Patterns]:
+    """The patterns of items, for each length."""
+    data = pa.array(texts, pa.large_string())
+    raw, offsets = text_bytes(data)
+    words = Words(raw, offsets)
+    count = np.diff(words.first)
+    out = []
+    for m in np.unique(np.minimum(count[count > 0], window)).tolist():
+        own = np.flatnonzero(np.minimum(count, window) == m)
+        n = count[own] - m + 1
+        start = np.repeat(words.first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out.append(Patterns(m, words, start, np.repeat(own, n)))
+    return out
 
 
 def _search(batches: Iterator[pa.RecordBatch], tables, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +154,9 @@ def _search(batches: Iterator[pa.RecordBatch], tables, text: str, names: list[st
             for p in patterns:
                 start, which = p.find(words)
                 row = np.searchsorted(words.first, start, "right") - 1
-                for r, s, w in zip(row.tolist(), (start - words.first[row]).tolist(), which.tolist()):
+                for r, s, k in zip(row.tolist(), (start - words.first[row]).tolist(), which.tolist()):
                     runs[i + r].append((s, s + p.length))
-                    items[i + r].update(ids[k] for k in p.items[w])
+                    items[i + r].update(ids[k])
         for r in range(len(batch)) if had else ():
             runs[r] += [(x["start"], x["end"]) for x in old_runs[r]]
             items[r].update(old_items[r])
@@ -171,8 +187,13 @@ def find_benchmark(
     spark = df.sparkSession
     bounded_batches(spark)
     names = ["n_words", "hit_runs", "hit_items"]
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(item_col).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # equal texts are one item with several ids
+    items = written(
+        benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(item_col).alias("text")).where("text is not null").groupBy("text").agg(F.array_sort(F.collect_set("id")).alias("ids")),
+        "items",
+    )
+    size = F.octet_length("text") + F.aggregate("ids", F.lit(0), lambda s, x: s + F.octet_length(x) + 16)
+    total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     slices = max(1, -(-total // item_bytes))
     out = df.drop(*[c for c in df.columns if c.lower() in names])
     fields = T.StructType(
@@ -180,8 +201,8 @@ def find_benchmark(
     )
     for k in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k)
-        got = [(r.id if r.id is not None else "", r.text) for r in part.collect()]  # at most about item_bytes
-        tables = spark.sparkContext.broadcast((build(got, window), [i for i, _ in got]))
+        got = part.collect()  # about item_bytes
+        tables = spark.sparkContext.broadcast((build([r.text for r in got], window), [r.ids for r in got]))
         out = out.mapInArrow(lambda b, t=tables: _search(b, t, text_col, names), fields)
     return out
 

@@ -27,7 +27,7 @@ lens AS (SELECT DISTINCT m FROM pat),
 grams AS (SELECT doc_id, i, m, array_to_string(w[i + 1 : i + m], ' ') AS g FROM dw, lens, unnest(range(len(w) - m + 1)) AS t(i) WHERE len(w) >= m),
 hit AS (SELECT DISTINCT doc_id, i, m, item_id FROM grams JOIN pat USING (m, g)),
 words AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(m)) AS t(k) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
