@@ -1,7 +1,14 @@
+import math
+from collections import Counter
+
+import duckdb
+
 import corpus_pipeline
+from siltstone.llm.quality import NAMES, THRESHOLD, learned
 from siltstone.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_near import brute as near
+from tests.llm.test_quality import statistics
 
 SF = "/root/testdata/sf0.01"
 
@@ -42,6 +49,51 @@ def test_whole_pipeline(spark):
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
 
 
+def test_chain_by_brute_force(spark):
+    """The documents of the whole pipeline, in Python and in SQL of the mix, each stage on what the one before kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = learned(spark, docs, SF)
+
+    def good(text):
+        value = dict(zip(NAMES, statistics(text)))
+        logit = model.intercept + sum(u.weight for u in model.rules if all((value[n] <= at) == upper for n, upper, at in u.conditions))
+        return 1 / (1 + math.exp(-logit)) >= THRESHOLD
+
+    rows = {r.doc_id: r for r in docs.collect() if good(r.text)}
+    rows = {k: rows[k] for k, root, _ in near([(k, r.text) for k, r in rows.items()]) if k == root}
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    dirty = {r[0] for r in contaminated([(k, r.text) for k, r in rows.items()], items) if r[5]}
+    rows = {k: r for k, r in rows.items() if k not in dirty}
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(k, r.text, r.source) for k, r in rows.items()])
+    want = Counter()
+    for doc_id, size, taken in con.sql(ORACLE_SQL["op8_mixing"]).select("doc_id, size, taken").fetchall():
+        want[doc_id] = 1 if size == 0 else math.floor(taken / size + 0.5)
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r.doc_id for r in got) == +want
+    assert all(tuple(r)[:5] == tuple(rows[r.doc_id]) for r in got)
+    shards = {}
+    for r in got:
+        shards.setdefault(r.shard, []).append(r)
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in shards.values())
+    size = [sum(len(r.text.encode()) for r in v) for v in shards.values()]
+    assert len(size) == 24 and (max(size) - min(size)) / (sum(size) / 24) < 0.1
+    assert all(len({r.shard for r in got if r.doc_id == k}) == 1 for k in list(want)[:50] if want[k])
+
+
+def test_other_columns_and_very_long_texts(spark):
+    long = " ".join(f"word{i % 997}x{i}" for i in range(100_000))
+    rows = [(1, long, "en", "a", 5, 0.5, "x", 3), (2, long + " end", "en", "a", 5, 0.5, "x", 3), (3, None, None, None, None, None, None, None), (4, "", "en", "b", 0, 1.0, "y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, class_id string, shard int")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert got.columns == [*corpus_pipeline.COLUMNS, *(["shard", "slot"] if name == "shard" else [])]
+        texts = {r.doc_id: r.text for r in got.collect()}
+        assert all(texts[k] == rows[k - 1][1] for k in texts)
+        assert set(texts) == {"near_duplicates": {1, 3, 4}, "decontaminate": {1, 2, 3, 4}, "mix": {1, 2, 3, 4}, "shard": {1, 2, 3, 4}}.get(name, set(texts))
+
+
 def test_rows_without_ids_and_repeated_rows(spark):
     rows = [(1, "some words that are here", "en", "a", 1), (1, "some words that are here", "en", "a", 1), (2, "some words that are here", "en", "a", 1), (None, "more", None, None, None), (3, None, "en", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
