@@ -1,4 +1,15 @@
-"""A corpus pipeline of five operators, each stage working on all that its predecessor kept."""
+"""A corpus pipeline of five operators, each stage working on all that its predecessor kept.
+
+Defined results of every stage: an empty table gives an empty one; only the columns of ``COLUMNS`` are returned, so other
+columns may have any name; texts of any length are read whole.
+
+* quality: a null text counts as empty and is scored; repeated rows are all kept or all dropped.
+* near_duplicates: of rows with equal ids all are kept or all dropped; rows without an id are kept; null and wordless texts are
+  near duplicates of nothing.
+* decontaminate: a null text has no words and is kept.
+* mix: a null source is a source; rows without tokens stay once; repeated rows are taken equally often.
+* shard: repeated rows are rows of their own; rows with equal texts share a shard unless they are larger than one.
+"""
 
 from __future__ import annotations
 
