@@ -115,10 +115,38 @@ best_inner AS (SELECT chunk_id, s, e FROM hashed WHERE inner_ QUALIFY row_number
 reps AS (SELECT l.chunk_id, coalesce(b.s, l.s) AS s, coalesce(b.e, l.e) AS e FROM largest l LEFT JOIN best_inner b USING (chunk_id))"""
 
 
-def rebinned(sample_bits: int = 2, size: int = CHUNK, average: int = 256) -> str:
-    """``first_`` and ``third``: groups (grp, chunk_id, members) of the ranked hierarchy, before and after leftovers are
-    put together by their representatives."""
-    return f"""{keys(sample_bits, size)}, {packed('a', 'b DESC, c DESC, chunk_id')},
+def best_fit(source: str, cap: int = 8) -> str:
+    """``fit``: (item, bin) of best-fit merges and then next fit of ``source`` (key, rank, item, size)."""
+    pairs = "flatten(list_transform(range(1, len(l)), lambda i: list_transform(range(i + 1, len(l) + 1), lambda j: {'n': -(l[i].n + l[j].n), 'i': i, 'j': j})))"
+    both = "{'n': l[p.i].n + l[p.j].n, 'm': list_concat(l[p.i].m, l[p.j].m)}"
+    return f"""merges AS (
+  SELECT key, list({{'n': size::BIGINT, 'm': [item]}} ORDER BY rank, item) AS l FROM {source} GROUP BY key
+  UNION ALL
+  SELECT key, list_transform(list_filter(range(1, len(l) + 1), lambda k: k <> p.j), lambda k: CASE WHEN k = p.i THEN {both} ELSE l[k] END)
+  FROM (SELECT key, l, list_min(list_filter({pairs}, lambda p: p.n >= -{cap})) AS p FROM merges) WHERE p IS NOT NULL),
+merged AS (SELECT key, l FROM merges QUALIFY row_number() OVER (PARTITION BY key ORDER BY len(l)) = 1),
+sets_ AS (SELECT key, k::BIGINT AS n, l[k].n AS size, l[k].m AS m FROM merged, unnest(range(1, len(l) + 1)) AS t(k)),
+filled AS (
+  SELECT key, n, m, n AS bin, size AS fill FROM sets_ WHERE n = 1
+  UNION ALL
+  SELECT q.key, q.n, q.m, CASE WHEN w.fill + q.size > {cap} THEN q.n ELSE w.bin END, CASE WHEN w.fill + q.size > {cap} THEN q.size ELSE w.fill + q.size END
+  FROM filled w JOIN sets_ q ON q.key = w.key AND q.n = w.n + 1),
+fit AS (SELECT item, min(item) OVER (PARTITION BY key, bin) AS bin FROM (SELECT key, bin, unnest(m) AS item FROM filled))"""
+
+
+def next_fit(source: str, name: str = "fit", cap: int = 8) -> str:
+    """``name``: (key, n, item, bin, fill) of next fit of ``source`` (key, n, item, size), n counting from 1 in each key."""
+    return f"""{name} AS (
+  SELECT key, n, item, item AS bin, size AS fill FROM {source} WHERE n = 1
+  UNION ALL
+  SELECT q.key, q.n, q.item, CASE WHEN w.fill + q.size > {cap} THEN q.item ELSE w.bin END, CASE WHEN w.fill + q.size > {cap} THEN q.size ELSE w.fill + q.size END
+  FROM {name} w JOIN {source} q ON q.key = w.key AND q.n = w.n + 1)"""
+
+
+def rebinned(sample_bits: int = 2, size: int = CHUNK, average: int = 256, by: str = "a", order: str = "b DESC, c DESC, chunk_id", fit: str | None = None) -> str:
+    """``first_`` and ``third``: groups (grp, chunk_id, members) of the ranked hierarchy (or ``by`` another key), before and
+    after leftovers are put together by their representatives, with next fit (or ``fit``)."""
+    return f"""{keys(sample_bits, size)}, {packed(by, order)},
 grouped AS (SELECT grp, chunk_id, members FROM packs WHERE members > 1),
 first_ AS (SELECT * FROM grouped UNION ALL SELECT chunk_id, chunk_id, 1 FROM uniq WHERE chunk_id NOT IN (SELECT chunk_id FROM grouped)),
 {cuts(average)},
@@ -128,12 +156,8 @@ subs AS (SELECT r.chunk_id, array_slice(u.content, s + 1, e) AS content FROM rep
 {_features('subs', 's_', sample_bits)},
 items AS (SELECT f.grp AS item, any_value(f.members) AS size, any_value(md5({" || ',' || ".join(_signed(f"k.f{j}") for j in range(4))})) AS key
           FROM first_ f JOIN s_feat k ON k.chunk_id = f.grp WHERE members < 8 GROUP BY f.grp),
-seq_ AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY size > 1, item) AS n FROM items),
-fit AS (
-  SELECT key, n, item, item AS bin, size AS fill FROM seq_ WHERE n = 1
-  UNION ALL
-  SELECT q.key, q.n, q.item, CASE WHEN w.fill + q.size > 8 THEN q.item ELSE w.bin END, CASE WHEN w.fill + q.size > 8 THEN q.size ELSE w.fill + q.size END
-  FROM fit w JOIN seq_ q ON q.key = w.key AND q.n = w.n + 1),
+seq_ AS (SELECT *, size > 1 AS rank, row_number() OVER (PARTITION BY key ORDER BY size > 1, item) AS n FROM items),
+{fit or next_fit('seq_')},
 third AS (
   SELECT grp, chunk_id, members FROM first_ WHERE members >= 8
   UNION ALL
@@ -341,3 +365,47 @@ SQL["A5_grouping_quality"] = f"""SELECT method, round(g)::BIGINT AS groups, chun
 UNION ALL {_quality('hsf', f"WITH {keys()}, {packed('a', 'b, c, chunk_id')} {_PACKED}")}
 UNION ALL {_quality('hsf_rank', f"WITH {keys()}, {packed('a', 'b DESC, c DESC, chunk_id')} {_PACKED}")}
 UNION ALL {_quality('hsf_rank_bib', f"WITH RECURSIVE {rebinned()} SELECT members FROM third")})"""
+
+_PACKED_SINGLES = """rest AS (SELECT chunk_id, (row_number() OVER (ORDER BY chunk_id) - 1) // {cap} AS pack FROM third WHERE members = 1)
+SELECT * FROM third WHERE members > 1 UNION ALL SELECT min(chunk_id) OVER (PARTITION BY pack), chunk_id, count(*) OVER (PARTITION BY pack) FROM rest"""
+
+SQL["G5_best_fit"] = f"""WITH RECURSIVE items AS (SELECT o_custkey AS key, 0 AS rank, o_orderkey AS item, (o_orderkey % 7 + 1)::INT AS size FROM orders),
+{best_fit('items')} SELECT item, bin FROM fit"""
+SQL["G7_sf_bib"] = f"WITH RECURSIVE {rebinned(by='sf0', order='chunk_id', fit=best_fit('seq_'))},\n{_PACKED_SINGLES.format(cap=8)}"
+
+
+def fp_affinity() -> str:
+    largest = "list_max([" + ", ".join(f"lpad(f{j}::VARCHAR, 20, '0')" for j in range(FEATURES)) + "])"
+    zero = "'" + "0" * 20 + "'"
+    return f"""WITH RECURSIVE {UNIQUE}, {GEAR}, {_features('numbered', '', 2)},
+tops AS (SELECT chunk_id, {largest} AS a FROM feat),
+counted AS (SELECT chunk_id, fp, (row_number() OVER (PARTITION BY fp ORDER BY chunk_id) - 1) // 16 AS pack FROM numbered),
+equal AS (SELECT min(chunk_id) OVER (PARTITION BY fp, pack) AS grp, chunk_id, count(*) OVER (PARTITION BY fp, pack) AS members FROM counted),
+items AS (SELECT e.grp AS item, any_value(e.members) AS size, any_value(t.a) AS key FROM equal e JOIN tops t ON t.chunk_id = e.grp WHERE members < 16 GROUP BY e.grp),
+seq_ AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY item) AS n FROM items),
+marked AS (SELECT * FROM seq_ WHERE key <> {zero}),
+unmarked AS (SELECT * FROM seq_ WHERE key = {zero}),
+first_fit AS (
+  SELECT key, n, item, [16 - size] AS room, [item] AS names, item AS bin FROM marked WHERE n = 1
+  UNION ALL
+  SELECT key, n, item, CASE WHEN at_ IS NULL THEN list_append(room, 16 - size) ELSE list_transform(room, lambda r, i: CASE WHEN i = at_ THEN r - size ELSE r END) END,
+         CASE WHEN at_ IS NULL THEN list_append(names, item) ELSE names END, CASE WHEN at_ IS NULL THEN item ELSE names[at_] END
+  FROM (SELECT q.key, q.n, q.item, q.size, w.room, w.names, list_min(list_filter(range(1, len(w.room) + 1), lambda k: w.room[k] >= q.size)) AS at_
+        FROM first_fit w JOIN marked q ON q.key = w.key AND q.n = w.n + 1)),
+{next_fit('unmarked', 'zero_fit', 16)},
+bins AS (SELECT item, bin FROM first_fit UNION ALL SELECT item, bin FROM zero_fit),
+second AS (SELECT grp, chunk_id, members FROM equal WHERE members >= 16
+           UNION ALL SELECT min(e.chunk_id) OVER (PARTITION BY b.bin), e.chunk_id, count(*) OVER (PARTITION BY b.bin) FROM equal e JOIN bins b ON b.item = e.grp),
+heads AS (SELECT n.chunk_id, n.size, n.content FROM numbered n JOIN second s USING (chunk_id) WHERE s.members = 1),
+{cuts(256, 'heads')},
+subs AS (SELECT h.chunk_id, array_slice(h.content, s + 1, e) AS content
+         FROM (SELECT * FROM pieces QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY e - s DESC, s) = 1) JOIN heads h USING (chunk_id)),
+{_features('subs', 's_', 2)},
+tied AS (SELECT chunk_id, {largest} AS key FROM s_feat),
+{packed('key', 'chunk_id', 16, 'tied')},
+whole AS (SELECT * FROM second WHERE members > 1 UNION ALL SELECT grp, chunk_id, members FROM packs WHERE members > 1),
+third AS (SELECT * FROM whole UNION ALL SELECT chunk_id, chunk_id, 1 FROM numbered WHERE chunk_id NOT IN (SELECT chunk_id FROM whole)),
+{_PACKED_SINGLES.format(cap=16)}"""
+
+
+SQL["G11_fp_affinity"] = fp_affinity()
