@@ -12,12 +12,12 @@ def with_fingerprint(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("fp", F.sha2("content", 256))
 
 
-def numbered(chunks: DataFrame) -> DataFrame:
+def with_ids(rows: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """Chunks with an id each, in the order of files and places; nothing is removed.  Places in a file are dense, so only
     the files' numbers of chunks are summed up; the content is not sorted."""
-    counts = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n"))
+    counts = fingerprints.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n"))
     base = running_sum(counts, ["file_id"], "_n", "_first").select("file_id", "_first")
-    return chunks.join(base, "file_id").withColumn("chunk_id", F.col("_first") + F.col("seq")).drop("_first")
+    return rows.join(base, "file_id").withColumn("chunk_id", F.col("_first") + F.col("seq")).drop("_first")
 
 
 def first_occurrences(fingerprints: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def first_occurrences(fingerprints: DataFrame) -> DataFrame:
 
 def unique_chunks(chunks: DataFrame, firsts: DataFrame) -> DataFrame:
     """The first occurrences with their content."""
-    return chunks.join(firsts.select("file_id", "seq", "chunk_id"), ["file_id", "seq"]).select("chunk_id", "fp", "file_id", "seq", "size", "content")
+    return chunks.join(firsts.select("fp", "file_id", "seq", "chunk_id"), ["file_id", "seq"]).select("chunk_id", "fp", "file_id", "seq", "size", "content")
 
 
 def recipes(fingerprints: DataFrame, firsts: DataFrame) -> DataFrame:

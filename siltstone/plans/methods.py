@@ -32,11 +32,14 @@ class Corpus:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return written(dedup.with_fingerprint(chunking.chunks(self.parts, self.config)), "chunks")
+        """Every chunk with its content.  Fixed chunks are cut out of the files whenever they are read, so that content is
+        only written once, for unique chunks; content-defined ones are searched for once and written."""
+        rows = chunking.chunks(self.parts, self.config)
+        return dedup.with_fingerprint(rows if self.config.chunking == "fixed" else written(rows, "chunks"))
 
     @cached_property
     def fingerprints(self) -> DataFrame:
-        return self.chunks.select("file_id", "seq", "size", "fp")
+        return written(self.chunks.select("file_id", "seq", "size", "fp"), "fingerprints")
 
     @cached_property
     def firsts(self) -> DataFrame:
@@ -44,12 +47,16 @@ class Corpus:
 
     @cached_property
     def unique(self) -> DataFrame:
-        return written(dedup.unique_chunks(self.chunks, self.firsts), "unique")
+        return written(dedup.unique_chunks(self.chunks.drop("fp"), self.firsts), "unique")
 
     @cached_property
     def all(self) -> DataFrame:
         """Every chunk with an id of its own (for methods without deduplication)."""
-        return dedup.numbered(self.chunks)
+        return dedup.with_ids(self.chunks, self.fingerprints)
+
+    @cached_property
+    def all_fingerprints(self) -> DataFrame:
+        return dedup.with_ids(self.fingerprints, self.fingerprints)
 
     @cached_property
     def recipes(self) -> DataFrame:
@@ -98,8 +105,8 @@ def _with_packed_singles(c: Corpus, chunks: DataFrame, groups: DataFrame) -> Dat
 
 def lz4(c: Corpus) -> Grouped:
     chunks = c.all
-    each = chunks.select(F.col("chunk_id").alias("grp"), "chunk_id", F.lit(1).cast("long").alias("members"))
-    return _done(c, each, chunks, chunks.select("file_id", "seq", "chunk_id"))
+    each = c.all_fingerprints.select(F.col("chunk_id").alias("grp"), "chunk_id", F.lit(1).cast("long").alias("members"))
+    return _done(c, each, chunks, c.all_fingerprints.select("file_id", "seq", "chunk_id"))
 
 
 def sf(c: Corpus) -> Grouped:
@@ -159,16 +166,16 @@ def fp_only(c: Corpus) -> Grouped:
 def sf_nodedup(c: Corpus) -> Grouped:
     chunks = c.all
     packs = written(real(by_first_key(c.all_features, c.config.cap)), "packs")
-    return _done(c, _with_packed_singles(c, chunks, packs), chunks, chunks.select("file_id", "seq", "chunk_id"), first=packs)
+    return _done(c, _with_packed_singles(c, c.all_fingerprints, packs), chunks, c.all_fingerprints.select("file_id", "seq", "chunk_id"), first=packs)
 
 
 def fp_sf(c: Corpus) -> Grouped:
     """Fingerprints first: ids count all chunks, the smallest of each fingerprint survives, then as in ``sf``."""
-    keep = written(dedup.survivors(c.all), "survivors")
+    keep = written(dedup.survivors(c.all_fingerprints), "survivors")
     chunks = c.all.join(keep.select("chunk_id"), "chunk_id", "left_semi")
     features = c.all_features.join(keep.select("chunk_id"), "chunk_id", "left_semi")
     packs = written(real(by_first_key(features, c.config.cap)), "packs")
-    recipes = c.all.select("file_id", "seq", "fp").join(keep, "fp").select("file_id", "seq", "chunk_id")
+    recipes = c.all_fingerprints.select("file_id", "seq", "fp").join(keep, "fp").select("file_id", "seq", "chunk_id")
     return _done(c, _with_packed_singles(c, chunks, packs), chunks, recipes, first=packs)
 
 
@@ -177,7 +184,7 @@ def fp_affinity(c: Corpus) -> Grouped:
     buckets of the largest feature (first fit), then single chunks by the largest feature of their largest
     sub-chunk, then by id.  Nothing is removed."""
     cap, chunks = 2 * c.config.cap, c.all
-    packs = written(grouping.pack(chunks.select("chunk_id", "fp"), ["fp"], ["chunk_id"], cap), "fp_packs")
+    packs = written(grouping.pack(c.all_fingerprints.select("chunk_id", "fp"), ["fp"], ["chunk_id"], cap), "fp_packs")
     full = packs.where(F.col("members") >= cap)
     rest = packs.where(F.col("members") < cap)
     a = c.all_features.select(F.col("chunk_id").alias("grp"), F.col("hsf.a").alias("key"))
@@ -193,8 +200,8 @@ def fp_affinity(c: Corpus) -> Grouped:
     keyed = written(reps.select("chunk_id", hierarchy(F.col("features"))["a"].alias("key")), "keyed")
     third = real(second).unionByName(real(grouping.pack(keyed, ["key"], ["chunk_id"], cap)))
     third = written(third, "third")
-    rest = chunks.select("chunk_id").join(third.select("chunk_id"), "chunk_id", "left_anti")
-    return _done(c, third.unionByName(in_order(rest, cap)), chunks, chunks.select("file_id", "seq", "chunk_id"), first=packs, second=second, third=third)
+    rest = c.all_fingerprints.select("chunk_id").join(third.select("chunk_id"), "chunk_id", "left_anti")
+    return _done(c, third.unionByName(in_order(rest, cap)), chunks, c.all_fingerprints.select("file_id", "seq", "chunk_id"), first=packs, second=second, third=third)
 
 
 def greedy_merge(contents: list[bytes], cap: int) -> list[list[int]]:

@@ -115,7 +115,7 @@ def _(c):
 
 @on_corpus("D2_duplicates")
 def _(c):
-    return dedup.duplicates(c.all)
+    return dedup.duplicates(c.all_fingerprints)
 
 
 @on_corpus("D3_occurrence_histogram")
@@ -130,7 +130,7 @@ def _(c):
 
 @on_corpus("I1_fp_index")
 def _(c):
-    return dedup.fp_index(c.all).select("fp", "place", "chunk_id")
+    return dedup.fp_index(c.all_fingerprints).select("fp", "place", "chunk_id")
 
 
 # Features and indexes
