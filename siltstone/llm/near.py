@@ -5,7 +5,7 @@
    a bucket, MinHash values are compared 16 at a time, and a pair is dropped once the posterior probability
    (uniform prior) that its similarity reaches the threshold is below ``tolerance``.  Pairs are never
    written: a bucket only gives, for each member, the smallest one that surviving pairs connect it with, and pairs that
-   are connected already are not compared.  A bucket of more than an eighth of ``bucket`` members is cut into
+   are connected already are not compared.  A bucket of more than a 16th of ``bucket`` members is cut into
    blocks of at most ``bucket`` by a hash of the id, and pairs of blocks are compared, so that no task sees all of it.
 3. The connected components of these links are groups.  Every pair that survived is inside one of them; documents
    that share a band by chance, or some boilerplate, are not.
@@ -265,8 +265,8 @@ def _groups(reps: DataFrame, threshold: float, tolerance: float, bucket: int) ->
     shared = keyed.groupBy("key").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.sum(F.shiftright(F.xxhash64("id", F.lit(1)), 24)).alias("s2")).where("n > 1")
     shared = written(shared.groupBy("m", "n", "s1", "s2").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
     small = 64
-    bins = max(1, -(-(shared.where(F.col("n") <= small).agg(F.sum("n")).first()[0] or 0) // 4096))
-    most = F.least(F.greatest(F.ceil(F.col("n") / 4), F.lit(bucket // 8)), F.lit(bucket))
+    bins = max(1, -(-(shared.where(F.col("n") <= small).agg(F.sum("n")).first()[0] or 0) // 512))
+    most = F.least(F.greatest(F.ceil(F.col("n") / 8), F.lit(bucket // 16)), F.lit(bucket))
     blocks = F.ceil(F.col("n") / most).cast("int")
     # sort-merge joins at every size, so that a small test shuffles what a large run will
     member = keyed.join(shared.hint("merge"), "key").select("id", "key", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
