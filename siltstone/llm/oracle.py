@@ -67,4 +67,14 @@ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = doc_id), doc_id) AS class_id, (SELECT count(*) FROM e WHERE e.x = doc_id) AS n_links FROM documents"""
 
-ORACLE_SQL = {"op2_suffix_merge": SUFFIXES, "op5_jaccard_join": NEAR, "op7_wu_manber": BENCHMARK, "op8_mixing": MIXING, "op9_warc": WARC}
+SEARCH = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+c AS (SELECT count(*)::DOUBLE AS n, sum(len(w))::DOUBLE / count(*) AS mean FROM d),
+t AS (SELECT doc_id, g, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest(w) AS g FROM d) GROUP BY doc_id, g),
+f AS (SELECT g, ln(1 + (any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM t, c GROUP BY g),
+x AS (SELECT doc_id, g, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(w) / mean)) AS x FROM t JOIN d USING (doc_id), c),
+s AS (SELECT q.doc_id AS query_id, x.doc_id, sum(q.tf * idf * x) AS score FROM t q JOIN f USING (g) JOIN x USING (g) WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, x.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10"""
+
+ORACLE_SQL = {"op2_suffix_merge": SUFFIXES, "op5_jaccard_join": NEAR, "op7_wu_manber": BENCHMARK, "op8_mixing": MIXING, "op9_warc": WARC, "op10_bm25_wand": SEARCH}

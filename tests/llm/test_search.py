@@ -1,6 +1,9 @@
 import math
 from collections import Counter
 
+import duckdb
+
+from siltstone.llm.oracle import ORACLE_SQL
 from siltstone.llm.search import op10_bm25_wand, search
 from siltstone.llm.words import words_of
 
@@ -55,6 +58,15 @@ def test_whole_table(spark):
     close(op10_bm25_wand(spark, sf).collect(), docs, [d for d in docs if d[0] % 50 == 0])
 
 
+def test_sql(spark):
+    """Ranks, ids and scores are those of a plain scan over all documents."""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(ORACLE_SQL["op10_bm25_wand"])
+    assert sorted(map(tuple, op10_bm25_wand(spark, sf).select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_edges_and_query_blocks(spark):
     docs = [(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 12))) for i in range(300)]
     docs += [(1000, None), (1001, ""), (7, docs[7][1]), (None, "w1 w2"), (1002, "w5 " * 3000), (1003, "?")]
