@@ -1,6 +1,8 @@
 """Incremental ingest: files that arrive in micro-batches, deduplicated against all that came before.
 
-Each batch adds the chunks that the index does not have yet and the recipes of its files.  Both tables
+Each batch adds the chunks that the index does not have yet and the recipes of its files.  The fingerprints of a
+batch of at most ``BROADCAST_CHUNKS`` different chunks are broadcast, so that the index is only scanned for them (one
+column) and none of it is shuffled; a larger batch is joined by a shuffle.  Both tables
 are folders of one Parquet part for each batch, replaced as a whole when a batch is replayed, so that every
 batch takes effect once.  Grouping and compression run as a batch job over the tables.
 """
@@ -16,6 +18,8 @@ from siltstone.operators import chunking, dedup
 from siltstone.operators.ids import dense_id
 
 UNIQUE = "fp string, size int, content binary, file_id long, seq int, batch long"
+#: Fingerprints that are broadcast at most, about 130 bytes each.
+BROADCAST_CHUNKS = 1 << 17
 RECIPES = "file_id long, seq int, fp string, batch long"
 
 
@@ -39,12 +43,15 @@ class Index:
     def add(self, files: DataFrame, batch: int, config: Config) -> None:
         """Adds a batch; a replay writes the same again."""
         rows = dedup.with_fingerprint(chunking.chunks(files, config)).persist()
-        first = rows.groupBy("fp").agg(F.min(F.struct("file_id", "seq")).alias("at")).select("fp", "at.*")
-        known = self.unique().where(F.col("batch") != batch).select("fp")
+        first = rows.groupBy("fp").agg(F.min(F.struct("file_id", "seq")).alias("at")).select("fp", "at.*").persist()
+        wanted = first.select("fp")
+        past = self.unique().where(F.col("batch") != batch).select("fp")
+        known = past.join(F.broadcast(wanted) if first.count() <= BROADCAST_CHUNKS else wanted, "fp", "left_semi")
         new = first.join(known, "fp", "left_anti").select("file_id", "seq")
         fresh = rows.join(new, ["file_id", "seq"]).select("fp", "size", "content", "file_id", "seq")
         fresh.write.mode("overwrite").parquet(f"{self.base}/unique/batch={batch}")
         rows.select("file_id", "seq", "fp").write.mode("overwrite").parquet(f"{self.base}/recipes/batch={batch}")
+        first.unpersist()
         rows.unpersist()
 
     def numbered(self) -> tuple[DataFrame, DataFrame]:

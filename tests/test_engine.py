@@ -285,7 +285,9 @@ def test_grouping_quality(spark):
     assert tuple(metrics.grouping_quality(groups).first()) == (3, 4, 50.0, 1.33)
 
 
-def test_stream_in_batches_and_replay(spark, tmp_path, files):
+@pytest.mark.parametrize("limit", [0, 1 << 17])
+def test_stream_in_batches_and_replay(spark, tmp_path, files, monkeypatch, limit):
+    monkeypatch.setattr("siltstone.streaming.ingest.BROADCAST_CHUNKS", limit)
     rows = files.select("file_id", "content").orderBy("file_id").collect()
     index = Index(spark, str(tmp_path / "index"))
     for k in range(3):
