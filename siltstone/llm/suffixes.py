@@ -11,6 +11,10 @@
    the transforms are merged by interleave refinement.  Intervals with a common prefix of ``length`` bytes are
    the repeated strings; all their occurrences but the first are removed.
 
+4. An anchor with more than ``hot`` different contexts (the edge of a passage that very many documents hold) would give
+   keys with as many segments.  Each of its windows is a key of its own instead, of 128 bits without the bytes, so
+   no key ever has more than ``hot`` different segments, which bounds the memory of a merge.
+
 Text goes through one shuffle, by id; the exchange serves both the cutting and the removal.
 
 Defined results: ids are integers; a null text counts as empty; matches never cross documents; rows with equal ids are
@@ -38,6 +42,8 @@ GRAM = 24
 #: Bytes of segments that are merged at once, and bytes of a shard.
 MERGE_BYTES = 1 << 20
 SHARD_BYTES = 256 << 10
+#: Different contexts of an anchor whose segments are merged, at most (of up to 138 bytes each).
+HOT = 1 << 14
 _hash, _second = RangeHash(21), RangeHash(31)
 
 ANCHOR = "h long, c long, id long, pos int, start int, size int"
@@ -140,11 +146,13 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     yield from _anchor_rows(key, np.zeros(len(r_id), np.uint64), r_id, np.full(len(r_id), -1), r_start, r_size)
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows ordered by (h, c, id, pos): repeated ranges (``pos`` -1) and undecided anchors.  Of the last
-    anchor seen, only its first class is kept back, until it is known whether there is another."""
-    last_h = last_c = last_place = held = None
-    several = False
+def _decide(batches: Iterator[pa.RecordBatch], hot: int = HOT) -> Iterator[pa.RecordBatch]:
+    """From rows ordered by (h, c, id, pos): repeated ranges (``pos`` -1) and undecided anchors (``pos``, or -2 - ``pos`` for
+    anchors with more than ``hot`` classes).  Of the last anchor seen, the first places of at most ``hot`` classes are
+    kept back, until it is known how many there are."""
+    last_h = last_c = last_place = None
+    held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int32)]
+    passed = 0  # classes of the last anchor that are out already
     for batch in batches:
         if not len(batch):
             continue
@@ -166,30 +174,27 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             later = keep[~new_c & ~same]
             out.append((id_[later], start[later], size[later], np.full(len(later), -1, np.int32)))
             firsts = keep[new_c]
-            group = np.cumsum(new_h)[new_c]  # 0: still the anchor of the batch before
-            count = np.bincount(group, minlength=int(new_h.sum()) + 1)
-            undecided = (count[group] > 1) & (group > 0)
-            if count[0]:  # more classes of the anchor before
-                undecided |= group == 0
-                several = True
-                if held is not None:
-                    out.append(tuple(np.array([x]) for x in held))
-                    held = None
-            if new_h.any():
-                held, several = None, count[-1] > 1
-                if not several:
-                    k = firsts[-1]
-                    held = (id_[k], start[k], size[k], pos[k])
-            u = firsts[undecided]
-            out.append((id_[u], start[u], size[u], pos[u]))
+            group = np.concatenate([np.zeros(len(held[0]), np.int64), np.cumsum(new_h)[new_c]])  # 0: the anchor of the batch before
+            first = [np.concatenate([old, x[firsts]]) for old, x in zip(held, (id_, start, size, pos))]
+            last = int(new_h.sum())
+            count = np.bincount(group, minlength=last + 1)
+            count[0] += passed
+            many = count[group] > hot
+            ready = np.where(group == last, many, count[group] > 1)
+            out.append((*(x[ready] for x in first[:3]), np.where(many, -2 - first[3], first[3])[ready]))
+            held = [x[(group == last) & ~many] for x in first]
+            passed = int(count[last]) if count[last] > hot else 0
             last_h, last_c, last_place = kh[-1], kc[-1], (ki[-1], kp[-1])
         i, s, n, p = (np.concatenate(x) for x in zip(*out))
         yield _batch(id=i, start=s.astype(np.int32), size=n.astype(np.int32), pos=p.astype(np.int32))
+    if len(held[0]) > 1:
+        yield _batch(id=held[0], start=held[1], size=held[2], pos=held[3])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Segments of undecided anchors by key; segments equal to an earlier one of the task are only ranges
-    (null bytes).  ``places``: anchors of each text, with their contexts."""
+    (null bytes).  ``places``: anchors of each text, with their contexts.  Windows of anchors with very many
+    contexts have a second hash of eight bytes for a segment."""
     half = (length - GRAM) // 2
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
@@ -202,10 +207,15 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             part = slice(first[i], first[j])
             row = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
-            at, begin = o[row] + pos[part], o[row] + start[part]
+            begin = o[row] + start[part]
             stop = begin + size[part]
             prefix, prefix2 = _hash.prefix(d), _second.prefix(d)
-            rows, keys, starts, ends = [], [], [], []
+            many = pos[part] < 0
+            at = o[row] + np.where(many, -2 - pos[part], pos[part])
+            n = (stop - begin - length + 1)[many]  # windows, each of them a key
+            lone = np.repeat(begin[many] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            rows, keys, starts, ends = [np.repeat(row[many], n)], [_hash.ranges(prefix, lone, lone + length) + np.uint64(2)], [lone], [lone + length]
+            row, at, begin, stop = (x[~many] for x in (row, at, begin, stop))
             for side, (k0, k1, s, e) in enumerate(
                 # key, and the windows that have the anchor at least half a gap in; the others
                 ((at - half, at + GRAM, begin, np.minimum(stop, at - half + length)), (at, at + length - half + 1, np.maximum(begin, at - half + 1), stop))
@@ -216,6 +226,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 starts.append(s[ok])
                 ends.append(e[ok])
             row, key, s, e = (np.concatenate(x) for x in (rows, keys, starts, ends))
+            short = np.arange(len(row)) < len(lone)
             if not len(row):
                 continue
             whole = mix64(_second.ranges(prefix2, s, e) + (e - s).astype(np.uint64))
@@ -223,7 +234,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             l_id, l_start, l_size = merged_ranges(*(x[order[later]] for x in (ids[i + row], s - o[row], e - s)))
             kept = order[new]
             raw = d.tobytes()
-            text = [raw[a:b] for a, b in zip(s[kept].tolist(), e[kept].tolist())]
+            text = [w.tobytes() if x else raw[a:b] for a, b, w, x in zip(s[kept].tolist(), e[kept].tolist(), whole[kept], short[kept].tolist())]
             yield _batch(
                 key=np.concatenate([key[kept].view(np.int64), mix64(l_id.astype(np.uint64)).view(np.int64)]),
                 id=np.concatenate([ids[i + row[kept]], l_id]),
@@ -275,6 +286,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int, merge_bytes: int) -
     def work(tables: list[pa.Table]) -> pa.RecordBatch | None:
         table, done = collapsed(tables)
         found = [done]
+        table = table.filter(pc.equal(pc.binary_length(table.column("segment")), table.column("size")))  # the others are single windows
         _, inverse, count = np.unique(table.column("key").to_numpy(), return_inverse=True, return_counts=True)
         table = table.take(pa.array(np.flatnonzero(count[inverse] > 1)))  # a key of its own decides nothing
         if len(table):
@@ -347,7 +359,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(cols[n], t) for n, t in zip(names, types)), pa.array(spans, span)], names=["id", *names, "spans"])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, merge_bytes: int = MERGE_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, merge_bytes: int = MERGE_BYTES, hot: int = HOT) -> DataFrame:
     """For each row: its id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (the remaining
     bytes) and ``spans`` (the removed runs)."""
     if length % 4 or length < GRAM + 8:
@@ -362,13 +374,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         other = F.col("t").isNotNull() & (F.xxhash64("text") != F.col("t"))
         named, lone = marked.where(~other).select("id", "text"), lone.unionByName(marked.where(other).select("id", "text"))
     found = named.mapInArrow(lambda b: _find(b, length), ANCHOR).repartition("h").sortWithinPartitions("h", "c", "id", "pos")
-    decided = written(found.mapInArrow(_decide, RANGES), "anchors")
-    places = decided.where("pos >= 0").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("pos", "start", "size"))).alias("places"))
+    decided = written(found.mapInArrow(lambda b: _decide(b, hot), RANGES), "anchors")
+    places = decided.where("pos <> -1").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("pos", "start", "size"))).alias("places"))
     # texts always move by a sort-merge join: one exchange of them for both joins, at every size
     cut = named.join(places.hint("merge"), "id").mapInArrow(lambda b: _cut(b, length), "key long, id long, start int, size int, segment binary")
     cut = cut.repartition("key").sortWithinPartitions("key", "id", "start")
     resolved = cut.mapInArrow(lambda b: _resolve(b, length, merge_bytes), "id long, start int, size int")
-    ranges = decided.where("pos < 0").select("id", "start", "size").union(resolved)
+    ranges = decided.where("pos = -1").select("id", "start", "size").union(resolved)
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
     out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>"
     with_ranges = named.join(ranges.hint("merge"), "id", "left").unionByName(lone.withColumn("ranges", F.lit(None).cast("array<struct<start:int,size:int>>")))

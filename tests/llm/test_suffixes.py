@@ -54,8 +54,8 @@ def test_whole_table(spark):
     assert sum(v[1] for v in want.values()) > 10000
 
 
-@pytest.mark.parametrize("merge_bytes", [10, 300, 1 << 20])
-def test_many_small_repeats(spark, merge_bytes):
+@pytest.mark.parametrize("merge_bytes, hot", [(10, 1 << 14), (300, 3), (1 << 20, 1 << 14), (1 << 20, 1)])
+def test_many_small_repeats(spark, merge_bytes, hot):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     passages = [word(n) for n in (40, 60, 70, 90, 99, 100, 101, 120, 150, 200, 300)]
@@ -70,7 +70,7 @@ def test_many_small_repeats(spark, merge_bytes):
     docs |= {200: "a" * 5000, 201: "a" * 99, 202: "a" * 100, 203: "ab" * 300, 204: None, 205: "", 206: docs[5], 207: docs[5] + "x", 208: "a" * 4000 + word(100) + "a" * 150}
     rows = [*docs.items(), (5, docs[5]), (None, docs[5])]
     df = spark.createDataFrame([(*r, 1, b"") for r in rows], "doc_id long, text string, ID2 int, kept binary").repartition(6)
-    got = remove_repeats(df, merge_bytes=merge_bytes).collect()
+    got = remove_repeats(df, merge_bytes=merge_bytes, hot=hot).collect()
     want = brute(docs)
     for r in got:
         if r.doc_id is None:
@@ -82,8 +82,9 @@ def test_many_small_repeats(spark, merge_bytes):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 2, 3, 100])
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
-def test_decisions_do_not_depend_on_batches(size):
+def test_decisions_do_not_depend_on_batches(size, hot):
     import pyarrow as pa
 
     from siltstone.llm.suffixes import _decide
@@ -96,7 +97,7 @@ def test_decisions_do_not_depend_on_batches(size):
     cols = {n: [r[k] for r in rows] for k, n in enumerate(names)} | {"start": [r[3] * 10 for r in rows], "size": [7] * len(rows)}
     types = {"h": pa.int64(), "c": pa.int64(), "id": pa.int64(), "pos": pa.int32(), "start": pa.int32(), "size": pa.int32()}
     table = pa.table({n: pa.array(cols[n], t) for n, t in types.items()})
-    got = [tuple(r.values()) for b in _decide(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    got = [tuple(r.values()) for b in _decide(iter(table.to_batches(max_chunksize=size)), hot) for r in b.to_pylist()]
     real = [r for r in rows if r[3] >= 0]
     classes, first = {}, {}
     for h, c, i, p in real:
@@ -104,9 +105,9 @@ def test_decisions_do_not_depend_on_batches(size):
         first.setdefault((h, c), (i, p))
     want = [(i, p * 10, 7, -1) for h, c, i, p in rows if p < 0]
     later = {(h, c, i, p) for h, c, i, p in real if (i, p) != first[h, c]}
-    undecided = [(i, p * 10, 7, p) for (h, c), (i, p) in first.items() if len(classes[h]) > 1]
-    assert sorted(g for g in got if g[3] >= 0) == sorted(undecided)
-    assert {g for g in got if g[3] < 0} == set(want) | {(i, p * 10, 7, -1) for _, _, i, p in later}
+    undecided = [(i, p * 10, 7, p if len(classes[h]) <= hot else -2 - p) for (h, c), (i, p) in first.items() if len(classes[h]) > 1]
+    assert sorted(g for g in got if g[3] != -1) == sorted(undecided)
+    assert {g for g in got if g[3] == -1} == set(want) | {(i, p * 10, 7, -1) for _, _, i, p in later}
 
 
 def test_one_id_with_several_texts(spark):
